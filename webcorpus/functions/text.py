@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ FLAT_ENTITIES = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def normalize_text(col: Column) -> Column:
     """Collapse white-space runs to one space and trim."""
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))

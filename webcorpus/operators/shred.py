@@ -58,7 +58,7 @@ ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))
 NODE = pa.struct(
     [(n, pa.int32()) for n in
      ("pre", "last", "parent", "depth", "ord", "sib_pos", "tag_pos", "tag_n",
-      "t_lo", "t_hi", "head", "tail", "c0", "c1")]
+      "t_lo", "t_hi", "head", "first", "tail", "c0", "c1")]
     + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
        ("attr_names", pa.list_(pa.string())), ("anc", pa.list_(pa.int32()))]
 )
@@ -68,7 +68,7 @@ COMMENT = pa.struct([("parent", pa.int32()), ("ord", pa.int32()), ("tail", pa.in
 
 NODE_DDL = (
     "pre INT, last INT, parent INT, depth INT, ord INT, sib_pos INT, tag_pos INT, tag_n INT, "
-    "t_lo INT, t_hi INT, head INT, tail INT, c0 INT, c1 INT, tag STRING, "
+    "t_lo INT, t_hi INT, head INT, first INT, tail INT, c0 INT, c1 INT, tag STRING, "
     "attrs MAP<STRING,STRING>, attr_names ARRAY<STRING>, anc ARRAY<INT>"
 )
 DOM_DDL = (
@@ -141,6 +141,8 @@ def shred_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
             return
         texts.append({"tord": len(texts), "parent": parent, "after": after,
                       "after_comment": commented, "seen": len(nodes), "text": value, "at": at})
+        if parent >= 0 and nodes[parent]["first"] < 0:
+            nodes[parent]["first"] = len(texts) - 1
         if at == 0:
             if parent >= 0:
                 nodes[parent]["head"] = len(texts) - 1
@@ -159,7 +161,7 @@ def shred_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
         attrs = _attributes(raw)
         nodes.append({
             "pre": pre, "last": pre, "parent": parent, "depth": len(stack), "ord": child(parent),
-            "t_lo": len(texts), "t_hi": len(texts), "head": -1, "tail": -1, "tag": name,
+            "t_lo": len(texts), "t_hi": len(texts), "head": -1, "first": -1, "tail": -1, "tag": name,
             "attrs": attrs, "attr_names": list(attrs), "anc": list(stack),
         })
         tags.append(name)
@@ -249,7 +251,7 @@ def elements(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per element. ``text`` is cut from the page text only where it is used."""
     others = [c for c in (keep or []) if c not in ("page_id", "url")]
     n = F.col("n")
-    return dom.select("page_id", "url", *others, "text", F.explode("nodes").alias("n")).select(
+    return dom.select("page_id", "url", *others, "text", "texts", F.explode("nodes").alias("n")).select(
         "page_id",
         "url",
         *others,
@@ -258,6 +260,7 @@ def elements(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.try_element_at(n["attrs"], F.lit("class")).alias("cls"),
         F.try_element_at(n["attrs"], F.lit("id")).alias("id_attr"),
         subtree_text(F.col("text"), n["c0"], n["c1"]).alias("text"),
+        F.get("texts", n["head"])["text"].alias("own_text"),
     )
 
 

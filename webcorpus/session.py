@@ -29,6 +29,13 @@ def build_session(app: str = "webcorpus", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings that matter for the plans to a running session."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the folder the cluster names in spark.checkpoint.dir."""
     spark = df.sparkSession
