@@ -189,7 +189,7 @@ def with_selectors(pages: DataFrame, selectors: DataFrame, template: str | None
 
 
 def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
-    """(page_id, selector columns..., pre, tag, value) for every match.
+    """(page_id, url, selector columns..., pre, tag, value) for every match.
 
     ``selectors`` needs ``xpath``; with ``template`` both tables share that key.
     """
@@ -203,8 +203,8 @@ def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None =
         F.get(nodes, p)["tag"].alias("tag"),
         F.get(values_of(F.array(p), F.col("suffix"), F.col("text"), nodes, texts), 0).alias("value"),
     )
-    return matched.select("page_id", *extra, *names, F.explode(F.transform("m", one)).alias("x")).select(
-        "page_id", *extra, *names, "x.*"
+    return matched.select("page_id", "url", *extra, *names, F.explode(F.transform("m", one)).alias("x")).select(
+        "page_id", "url", *extra, *names, "x.*"
     )
 
 
