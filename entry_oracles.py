@@ -136,3 +136,242 @@ el AS (
     {", coalesce(text, '') AS text" if texts else ""}
   FROM el0 JOIN el_last USING (page_id, pre) {"LEFT JOIN el_text USING (page_id, pre)" if texts else ""}
 )"""
+
+
+# ---- shared pieces -------------------------------------------------------
+
+from entry_corpus import LIST_BASE, LIST_PAGES_SQL, ORDER_PAGES_SQL  # noqa: E402
+
+URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def part(url: str, g: int) -> str:
+    return f"regexp_extract({url}, '{URL_RE}', {g})"
+
+
+def canon(url: str, query: bool = True) -> str:
+    q = f"CASE WHEN {part(url, 4)} <> '' THEN '?' || {part(url, 4)} ELSE '' END" if query else "''"
+    return (f"(lower({part(url, 1)}) || '://' || lower({part(url, 2)}) || "
+            f"CASE WHEN {part(url, 3)} = '' THEN '/' ELSE {part(url, 3)} END || {q})")
+
+
+def rooted(base: str, href: str) -> str:
+    """Absolute form of a root-relative reference, the only kind in these pages."""
+    return f"({part(base, 1)} || '://' || {part(base, 2)} || {href})"
+
+
+def with_src(src: str, texts: bool = True) -> str:
+    return f"WITH RECURSIVE src AS ({src}), " + dom("src", texts)
+
+
+PAGES = "SELECT * FROM pages"
+DOM = "WITH RECURSIVE " + dom()
+ANCHORS = "WITH " + tokens() + f""", a AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, {attr('t', 'href')} AS href
+  FROM tok WHERE kind = 'open' AND tag = 'a' AND t LIKE '%href=%')"""
+
+
+def anchors_of(src: str) -> str:
+    return f"WITH src AS ({src}), " + tokens("src") + f""", a AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, {attr('t', 'href')} AS href
+  FROM tok WHERE kind = 'open' AND tag = 'a' AND t LIKE '%href=%')"""
+
+
+# text nodes with the child they follow: adjacent pieces are one node
+TEXT_NODES = """,
+cm AS (SELECT page_id, i, anc[-1] AS parent FROM walk JOIN tok USING (page_id, i) WHERE kind = 'comment'),
+ev AS (SELECT page_id, parent, i, pre AS el, false AS is_comment FROM el
+       UNION ALL SELECT page_id, parent, i, NULL, true FROM cm),
+tn0 AS (
+  SELECT tx.page_id, tx.i, tx.parent, tx.anc, tx.piece, ev.el, coalesce(ev.is_comment, false) AS after_comment, ev.i AS ei
+  FROM (SELECT * FROM tx WHERE piece <> '') tx ASOF LEFT JOIN ev ON tx.page_id = ev.page_id AND tx.parent = ev.parent AND tx.i > ev.i
+),
+tn AS (
+  SELECT page_id, min(i) AS i, parent, any_value(anc) AS anc, string_agg(piece, '' ORDER BY i) AS piece,
+         any_value(el) AS el, any_value(after_comment) AS after_comment
+  FROM tn0 GROUP BY page_id, parent, ei
+)"""
+
+
+def left_over(base: str, roots: str, keep_tails: bool = False, comments: bool = False) -> str:
+    """Elements and text that stay when the ``roots`` subtrees go. ``roots``: SQL condition on el."""
+    tail = "false" if keep_tails else "EXISTS (SELECT 1 FROM r WHERE r.page_id = tn.page_id AND r.pre = tn.el AND NOT tn.after_comment)"
+    return base + TEXT_NODES + f""",
+r AS (SELECT page_id, pre, last FROM el WHERE ({roots}) AND pre > 0),
+ge AS (SELECT DISTINCT page_id, unnest(range(pre, last + 1)) AS pre FROM r),
+le AS (SELECT page_id, count(*) AS n_elements FROM el ANTI JOIN ge USING (page_id, pre) GROUP BY 1),
+lt AS (SELECT page_id, string_agg(piece, '' ORDER BY i) AS text FROM tn
+       WHERE NOT EXISTS (SELECT 1 FROM ge WHERE ge.page_id = tn.page_id AND ge.pre = tn.parent) AND NOT {tail}
+       {"AND NOT after_comment" if comments else ""} GROUP BY 1)
+SELECT page_id, n_elements, md5(coalesce(text, '')) AS digest FROM le LEFT JOIN lt USING (page_id)"""
+
+
+def chrome() -> str:
+    """nav, footer and header in turn, each undone when under 500 characters stay."""
+    steps = [DOM + TEXT_NODES, "a0 AS (SELECT page_id, pre FROM el)", "t0 AS (SELECT * FROM tn)"]
+    for k, tag in enumerate(("nav", "footer", "header"), 1):
+        p = k - 1
+        steps += [
+            f"r{k} AS (SELECT page_id, pre, last FROM el SEMI JOIN a{p} USING (page_id, pre) WHERE tag = '{tag}')",
+            f"g{k} AS (SELECT DISTINCT page_id, unnest(range(pre, last + 1)) AS pre FROM r{k})",
+            f"tt{k} AS (SELECT * FROM t{p} x WHERE NOT EXISTS (SELECT 1 FROM g{k} g WHERE g.page_id = x.page_id AND g.pre = x.parent) "
+            f"AND NOT EXISTS (SELECT 1 FROM r{k} r WHERE r.page_id = x.page_id AND r.pre = x.el AND NOT x.after_comment))",
+            f"ok{k} AS (SELECT page_id FROM tt{k} GROUP BY 1 HAVING length(trim(string_agg(piece, '' ORDER BY i), ' \t\n\r')) >= 500)",
+            f"a{k} AS (SELECT page_id, pre FROM a{p} x WHERE NOT (EXISTS (SELECT 1 FROM ok{k} o WHERE o.page_id = x.page_id) "
+            f"AND EXISTS (SELECT 1 FROM g{k} g WHERE g.page_id = x.page_id AND g.pre = x.pre)))",
+            f"t{k} AS (SELECT * FROM tt{k} UNION ALL SELECT * FROM t{p} x WHERE NOT EXISTS (SELECT 1 FROM ok{k} o WHERE o.page_id = x.page_id) "
+            f"AND NOT EXISTS (SELECT 1 FROM tt{k} y WHERE y.page_id = x.page_id AND y.i = x.i))",
+        ]
+    return ", ".join(steps) + (
+        " SELECT page_id, n_elements, md5(coalesce(text, '')) AS digest FROM (SELECT page_id, count(*) AS n_elements FROM a3 GROUP BY 1)"
+        " LEFT JOIN (SELECT page_id, string_agg(piece, '' ORDER BY i) AS text FROM t3 GROUP BY 1) USING (page_id)"
+    )
+
+
+EMPTY = with_src(ORDER_PAGES_SQL) + TEXT_NODES + """,
+why AS (
+  SELECT page_id, list_append(anc, pre) AS path FROM el WHERE tag IN ('img', 'input', 'br', 'hr', 'meta', 'link', 'html', 'body', 'head')
+  UNION ALL SELECT page_id, anc FROM tn WHERE el IS NULL AND NOT after_comment AND trim(piece, ' \t\n\r') <> ''
+),
+k AS (SELECT DISTINCT page_id, unnest(path) AS pre FROM why),
+ge AS (SELECT page_id, pre FROM el ANTI JOIN k USING (page_id, pre)),
+lt AS (SELECT page_id, string_agg(piece, '' ORDER BY i) AS text FROM tn
+       WHERE NOT after_comment AND NOT EXISTS (SELECT 1 FROM ge WHERE ge.page_id = tn.page_id AND (ge.pre = tn.parent OR ge.pre = tn.el)) GROUP BY 1)
+SELECT page_id, n_elements, md5(coalesce(text, '')) AS digest
+FROM (SELECT page_id, count(*) AS n_elements FROM k SEMI JOIN el USING (page_id, pre) GROUP BY 1) LEFT JOIN lt USING (page_id)"""
+
+NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+SEGS = f"list_filter(string_split({part('url', 3)}, '/'), lambda s: s <> '')"
+
+S: dict[str, str] = {}
+
+S["read_pages"] = "SELECT page_id, url, length(html) AS chars FROM pages WHERE html <> ''"
+S["sitemap_urls"] = f"""
+SELECT page_id // 50 AS site, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS ord, {canon('url')} AS url
+FROM pages WHERE (page_id // 50) % 4 <> 3"""
+S["sitemap_scope"] = f"SELECT page_id, url FROM pages WHERE starts_with({part('url', 3)}, '/en')"
+S["url_normalize"] = f"SELECT page_id, {canon('url')} AS full_url, {canon('url', False)} AS no_query FROM pages"
+S["url_resolve"] = ANCHORS + f"""
+SELECT page_id, ord, {rooted('url', 'href')} AS absolute,
+  {part('url', 1)} || '://' || {part('url', 2)} || '/' || array_to_string(list_append(p[2:len(p) - 2], 'x'), '/') || '/' || substring(href, 2, 99) AS dotted
+FROM a JOIN (SELECT page_id, url, string_split({part('url', 3)}, '/') AS p FROM pages) USING (page_id)"""
+S["url_blocked"] = ANCHORS + " SELECT page_id, ord, ord % 3 <> 2 AS blocked FROM a"
+S["url_domain"] = f"""
+SELECT page_id, lower({part('url', 2)}) AS domain, lower({part('url', 2)}) = 'm.therou.example.com' AS same, true AS valid,
+  CASE WHEN len(q) >= 2 THEN array_to_string(q[1:len(q) - 1], '/') END AS parent, {SEGS} AS segments
+FROM (SELECT *, string_split(trim({part('url', 3)}, '/'), '/') AS q FROM pages)"""
+S["url_increment"] = f"""
+SELECT page_id, CASE WHEN regexp_matches({part('url', 4)}, '(^|&)page=[0-9]+') THEN
+    regexp_replace(url, 'page=[0-9]+', 'page=' || (CAST(regexp_extract({part('url', 4)}, 'page=([0-9]+)', 1) AS BIGINT) + 1), 'g')
+  ELSE url || CASE WHEN {part('url', 4)} <> '' THEN '&' ELSE '?' END || 'page=2' END AS next_url
+FROM pages"""
+S["url_valid_links"] = anchors_of(ORDER_PAGES_SQL) + " SELECT page_id, ord, NOT ends_with(href, '.pdf') AS valid FROM a"
+S["token_counts"] = "WITH " + tokens() + " SELECT page_id, kind, tag, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM tok GROUP BY ALL"
+S["comments_dropped"] = "SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS digest FROM pages"
+PAGE_TEXT = DOM + ", pt AS (SELECT page_id, string_agg(piece, '' ORDER BY i) AS text FROM tx GROUP BY 1)"
+S["pages_needing_render"] = PAGE_TEXT + """
+SELECT page_id, url, length(trim(text, ' \t\n\r')) AS text_chars FROM pt JOIN pages USING (page_id) WHERE text_chars < 500"""
+S["page_fingerprints"] = PAGE_TEXT + """
+SELECT page_id, url, md5(substring(text, 1, 4000)) AS fingerprint, n AS anchor_count
+FROM pt JOIN pages USING (page_id) JOIN (SELECT page_id, count(*) FILTER (tag = 'a' AND t LIKE '%href=%') AS n FROM el GROUP BY 1) USING (page_id)"""
+S["element_table"] = DOM + """
+SELECT page_id, pre, last, parent, depth, sib_pos, tag_pos, tag_n, tag, cls, md5(text) AS text_digest, anc FROM el"""
+S["element_table_shop"] = with_src(LIST_PAGES_SQL) + " SELECT page_id, pre, last, parent, tag, cls, text FROM el"
+S["text_node_table"] = DOM + TEXT_NODES + """
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS tord, parent,
+  coalesce(max(CASE WHEN e.parent = tn.parent AND e.i < tn.i THEN e.pre END), -1) AS after, md5(any_value(piece)) AS digest
+FROM tn JOIN (SELECT page_id, pre, i, parent FROM el) e USING (page_id) GROUP BY page_id, tn.i, tn.parent""".replace("parent,\n  coalesce", "tn.parent AS parent,\n  coalesce")
+S["subtrees_dropped"] = left_over(DOM, "tag IN ('ul', 'h1', 'div')")
+S["subtrees_dropped_keep_tails"] = left_over(with_src(ORDER_PAGES_SQL), "tag IN ('b', 'span')", keep_tails=True)
+S["noise_dropped"] = left_over(DOM, "tag IN ('script', 'style', 'noscript', 'svg', 'iframe')")
+S["hidden_dropped"] = left_over(with_src(ORDER_PAGES_SQL), "t LIKE '%display:none%' OR t LIKE '% hidden>'")
+S["chrome_dropped"] = chrome()
+S["comment_nodes_dropped"] = left_over(DOM, "false", comments=True)
+S["empty_dropped"] = EMPTY
+S["attributes_sanitized"] = """
+SELECT doc_id AS page_id, unnest([{'pre': 0, 'names': ['title'], 'title': CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END, 'src': NULL},
+  {'pre': 1, 'names': ['src'], 'title': NULL, 'src': ''}], recursive := true) FROM documents"""
+S["repeating_groups"] = DOM + """
+SELECT page_id, parent, tag, coalesce(cls, '') AS cls, count(*) AS n FROM el WHERE parent >= 0 GROUP BY ALL HAVING count(*) >= 3"""
+S["html_rendered"] = f"WITH src AS ({LIST_PAGES_SQL}) SELECT page_id, html FROM src"
+S["html_annotated"] = with_src(ORDER_PAGES_SQL) + " SELECT page_id, count(*) AS n, max(CASE WHEN tag = 'h1' THEN 'e' || pre END) AS h1_aid FROM el GROUP BY 1"
+S["pages_cleaned"] = """
+SELECT o_orderkey AS page_id, concat('<html><head><title>Order ', o_orderkey, '</title></head><body><div class="main" id="main"><h1 data-testid="order-title">Order ', o_orderkey,
+  '</h1><span class="price">$ ', CAST(floor(o_totalprice) AS BIGINT), '</span><div class="body"><p>Placed by ', o_custkey,
+  '</p><p>Copyright</p><p>Copyright</p></div><a class="prev" href="/order/', o_orderkey - 1, '">previous</a><a href="/files/', o_orderkey, '.pdf">invoice</a></div></body></html>') AS html
+FROM orders"""
+S["repeats_truncated"] = f"""
+WITH src AS ({LIST_PAGES_SQL}),
+cards AS (
+  SELECT page_id, html, unnest(c) AS card, generate_subscripts(c, 1) AS k
+  FROM (SELECT *, regexp_extract_all(html, '<li class.*?</li>') AS c FROM src)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, regexp_extract(card, 'class="([^"]*)"', 1) ORDER BY k) AS rn,
+    min(k) OVER (PARTITION BY page_id, regexp_extract(card, 'class="([^"]*)"', 1)) AS first
+  FROM cards
+),
+kept AS (SELECT page_id, string_agg(card, '' ORDER BY k) AS body FROM ranked WHERE rn <= 3 GROUP BY 1),
+notes AS (
+  SELECT page_id, string_agg('<!-- truncated ' || n || ' items -->', '' ORDER BY first) AS note
+  FROM (SELECT page_id, first, count(*) AS n FROM ranked WHERE rn > 3 GROUP BY ALL) GROUP BY 1
+),
+cut AS (
+  SELECT page_id, CASE WHEN length(html) <= 2500 THEN html ELSE substring(regexp_extract(html, '^(.*<ul class="cards">)', 1)
+    || body || coalesce(note, '') || regexp_extract(html, '(</ul>.*)$', 1), 1, 2500) END AS html
+  FROM src LEFT JOIN kept USING (page_id) LEFT JOIN notes USING (page_id)
+)
+SELECT page_id, length(html) AS chars, md5(html) AS digest FROM cut"""
+S["aid_resolved"] = DOM + " SELECT page_id, 'e' || pre AS aid, tag, pre FROM el WHERE pre IN (3, 20, 99)"
+S["element_texts"] = DOM + r"""
+SELECT page_id, pre, CASE WHEN length(x) > 100 THEN substring(x, 1, 100) || '...' ELSE x END AS sample, substring(x, 1, 100) AS plain
+FROM (SELECT page_id, pre, trim(text, ' \t\n\r') AS x FROM el)""".replace(r"\t\n\r", "\t\n\r")
+S["text_contents"] = DOM + f" SELECT page_id, pre, md5({NORM.format('text')}) AS digest FROM el"
+S["similar_siblings"] = with_src(LIST_PAGES_SQL, texts=False) + f""",
+c AS (SELECT page_id, parent, tag, tag_pos, pre, {cls_tokens('cls')} AS toks FROM el WHERE tag = 'li')
+SELECT a.page_id, a.pre, b.pre AS sib_pre FROM c a JOIN c b ON a.page_id = b.page_id AND a.parent = b.parent AND list_has_any(a.toks, b.toks)
+WHERE a.tag_pos IN (1, 8)"""
+
+DIGITS, DATE = "regexp_full_match({0}, '[0-9]+')", "regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{8}}|[0-9]{{4}}')"
+TOKEN = "(regexp_full_match(lower({0}), '[0-9a-f]{{8,}}|[0-9a-f-]{{18,}}') OR regexp_full_match({0}, '[a-zA-Z0-9_-]{{20,}}'))"
+NORMSEG = ("CASE WHEN " + DIGITS + " THEN '{{id}}' WHEN " + DATE + " THEN '{{date}}' WHEN " + TOKEN
+           + " THEN '{{token}}' WHEN length({0}) > 30 THEN '{{var}}' ELSE lower({0}) END")
+
+
+def schema_sql(urls: str = "urls", grp: str = "host") -> str:
+    """CTEs seg and slots from ``urls(grp, ord, url)``."""
+    s = "seg"
+    return f"""
+segs AS (SELECT {grp}, ord, unnest(x) AS seg, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT {grp}, ord, {SEGS} AS x FROM {urls})),
+segn AS (SELECT {grp}, pos, seg, count(*) AS n, min(ord) AS first FROM segs GROUP BY ALL),
+schema AS (
+  SELECT {grp}, pos, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_distinct,
+    -sum((n / t) * log2(n / t)) AS entropy,
+    CASE WHEN sum(CASE WHEN {DIGITS.format(s)} THEN n ELSE 0 END) / sum(n) >= 0.6 THEN '{{id}}'
+         WHEN sum(CASE WHEN {DATE.format(s)} THEN n ELSE 0 END) / sum(n) >= 0.5 THEN '{{date}}'
+         WHEN sum(CASE WHEN {TOKEN.format(s)} THEN n ELSE 0 END) / sum(n) >= 0.5 THEN '{{token}}'
+         WHEN count(*) / sum(n) > 0.6 OR -sum((n / t) * log2(n / t)) > 1.2 THEN '{{var}}'
+         ELSE lower((list(seg ORDER BY n DESC, first))[1]) END AS slot
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {grp}, pos) AS t FROM segn) GROUP BY {grp}, pos
+),
+slots AS (SELECT {grp}, list(slot ORDER BY pos) AS sl FROM schema GROUP BY 1),
+pats AS (
+  SELECT {grp}, pattern, count(*) AS n FROM (
+    SELECT u.{grp}, lower({part('url', 2)}) || '/' || array_to_string(list_transform({SEGS}, lambda x, i:
+      CASE WHEN coalesce(sl[i], '{{var}}') LIKE '{{%' THEN {NORMSEG.format('x')} ELSE lower(x) END), '/') AS pattern
+    FROM {urls} u LEFT JOIN slots USING ({grp})) GROUP BY ALL
+)"""
+
+
+HOST_URLS = f"urls AS (SELECT lower({part('url', 2)}) AS host, page_id AS ord, {canon('url')} AS url FROM pages)"
+S["host_link_profile"] = ANCHORS + ", " + HOST_URLS + ", " + schema_sql() + f""",
+e AS (SELECT lower({part('url', 2)}) AS host, {canon(rooted('url', 'href'))} AS dst FROM a JOIN pages USING (page_id)),
+l AS (SELECT host, count(*) AS n_links, count(DISTINCT dst) AS n_targets FROM e GROUP BY 1),
+t AS (SELECT host, CAST(sum(n) AS BIGINT) AS n_pages, (list(pattern ORDER BY n DESC, pattern))[1] AS top_pattern, max(n) AS top_n FROM pats GROUP BY 1)
+SELECT host, n_pages, coalesce(n_links, 0) AS n_links, coalesce(n_targets, 0) AS n_targets, top_pattern, top_n FROM t LEFT JOIN l USING (host)"""
+
+
+def statements() -> dict[str, str]:
+    import entry_queries
+
+    return {k: v for k, v in S.items() if k in entry_queries.QUERIES}

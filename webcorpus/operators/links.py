@@ -216,12 +216,19 @@ def select_links(links: DataFrame, scores: DataFrame, max_pages: int, group: lis
     )
 
 
-def bucket_by_domain(urls: DataFrame) -> DataFrame:
-    """(host, n, bucket_ord, template_url) from urls(ord, url): hosts by first appearance."""
-    host = F.coalesce(F.nullif(get_domain(F.col("url")), F.lit("")), F.lit("unknown"))
+def host_of(url: Column) -> Column:
+    return F.coalesce(F.nullif(get_domain(url), F.lit("")), F.lit("unknown"))
+
+
+def bucket_by_domain(urls: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group, host, n, bucket_ord, template_url) from urls(ord, url): hosts by first appearance."""
     first = F.min(F.struct("ord", "url"))
-    hosts = urls.groupBy(host.alias("host")).agg(F.count("*").alias("n"), first.alias("first"))
-    return hosts.select("host", "n", F.col("first.ord").alias("bucket_ord"), F.col("first.url").alias("template_url"))
+    hosts = urls.groupBy(*(group or []), host_of(F.col("url")).alias("host")).agg(
+        F.count("*").alias("n"), first.alias("first")
+    )
+    return hosts.select(
+        *(group or []), "host", "n", F.col("first.ord").alias("bucket_ord"), F.col("first.url").alias("template_url")
+    )
 
 
 # ---- neighbours and path patterns ---------------------------------------

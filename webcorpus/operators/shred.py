@@ -11,12 +11,17 @@ from __future__ import annotations
 
 import html as html_std
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# workers get this module's code with the task and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # How HTML closes elements by itself.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset(

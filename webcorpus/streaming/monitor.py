@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -12,6 +14,9 @@ from webcorpus.operators.health import (
     KEEP_RESULTS, KEEP_SAMPLES, MAX_ATTEMPTS, MAX_NULL_SHARE, MIN_SEEN, RECENT, TRAILING_NULLS,
 )
 
+# workers get this module's code with the task and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = (
     "template_id STRING, field STRING, seq BIGINT, value STRING, flagged BOOLEAN, "
