@@ -278,9 +278,9 @@ S["element_table"] = DOM + """
 SELECT page_id, pre, last, parent, depth, sib_pos, tag_pos, tag_n, tag, cls, md5(text) AS text_digest, anc FROM el"""
 S["element_table_shop"] = with_src(LIST_PAGES_SQL) + " SELECT page_id, pre, last, parent, tag, cls, text FROM el"
 S["text_node_table"] = DOM + TEXT_NODES + """
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS tord, parent,
-  coalesce(max(CASE WHEN e.parent = tn.parent AND e.i < tn.i THEN e.pre END), -1) AS after, md5(any_value(piece)) AS digest
-FROM tn JOIN (SELECT page_id, pre, i, parent FROM el) e USING (page_id) GROUP BY page_id, tn.i, tn.parent""".replace("parent,\n  coalesce", "tn.parent AS parent,\n  coalesce")
+SELECT tn.page_id, row_number() OVER (PARTITION BY tn.page_id ORDER BY tn.i) - 1 AS tord, tn.parent,
+  coalesce(max(CASE WHEN e.parent = tn.parent AND e.i < tn.i THEN e.pre END), -1) AS after, md5(any_value(tn.piece)) AS digest
+FROM tn JOIN (SELECT page_id, pre, i, parent FROM el) e ON e.page_id = tn.page_id GROUP BY tn.page_id, tn.i, tn.parent"""
 S["subtrees_dropped"] = left_over(DOM, "tag IN ('ul', 'h1', 'div')")
 S["subtrees_dropped_keep_tails"] = left_over(with_src(ORDER_PAGES_SQL), "tag IN ('b', 'span')", keep_tails=True)
 S["noise_dropped"] = left_over(DOM, "tag IN ('script', 'style', 'noscript', 'svg', 'iframe')")

@@ -49,17 +49,18 @@ def strip_text(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
-def decode_entities(col: Column) -> Column:
-    """Decode decimal references and the common named entities, ``&amp;`` last."""
+def _decode_all(col: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#(\d{1,7});"), 1))
     as_char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
-    out = F.when(
-        col.contains("&#"),
-        F.aggregate(codes, col, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), as_char(n))),
-    ).otherwise(col)
+    out = F.aggregate(codes, col, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), as_char(n)))
     for name, char in FLAT_ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(col.contains("&"), out).otherwise(col)
+    return out
+
+
+def decode_entities(col: Column) -> Column:
+    """Decode decimal references and the common named entities, ``&amp;`` last."""
+    return let(col, lambda c: F.when(c.contains("&"), _decode_all(c)).otherwise(c))
 
 
 def element_text(text: Column, max_chars: int = 100, ellipsis: bool = True) -> Column:

@@ -6,16 +6,21 @@ The generic RFC 3986 split is done with one regular expression instead of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webcorpus.functions.text import let
+
 # Fixed values.
 BLOCKED_PREFIXES = ("javascript:", "mailto:", "tel:", "data:", "#")
 DOWNLOAD_EXTENSIONS = ("pdf", "zip", "rar", "7z", "doc", "docx", "xls", "xlsx")
 PAGE_KEYS = ("page", "page_num", "pn", "offset", "start")
 
-URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-SCHEME, AUTHORITY, PATH, QUERY = 1, 2, 3, 4
+URL_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(#.*)?$"
+SCHEME, AUTHORITY, PATH, QUERY, FRAGMENT = 1, 2, 3, 4, 5
+_SEP = "\u0001"
 
 
 def trim_ws(col: Column) -> Column:
@@ -27,6 +32,28 @@ def url_part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, URL_RE, group)
 
 
+class Parts:
+    """All parts of a URL from one pass of the expression; scheme and authority in lower case."""
+
+    def __init__(self, split: Column) -> None:
+        get = lambda i: F.coalesce(F.get(split, i - 1), F.lit(""))
+        self.scheme, self.raw_authority = F.lower(get(SCHEME)), get(AUTHORITY)
+        self.authority = F.lower(self.raw_authority)
+        self.path, self.query, self.fragment = get(PATH), get(QUERY), get(FRAGMENT)
+
+
+def split_url(url: Column) -> Column:
+    return F.split(F.regexp_replace(url, URL_RE, _SEP.join(f"${i}" for i in range(1, 6))), _SEP, -1)
+
+
+def with_parts(url: Column, use: Callable[[Parts], Column]) -> Column:
+    return let(split_url(url), lambda s: use(Parts(s)))
+
+
+def _question(query: Column) -> Column:
+    return F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+
+
 def get_domain(url: Column) -> Column:
     return F.lower(url_part(url, AUTHORITY))
 
@@ -58,73 +85,82 @@ def _drop_dots(segments: Column) -> Column:
 
 
 def _merge_path(base_path: Column, path: Column) -> Column:
-    base = F.split(base_path, "/", -1)
-    base = F.when(F.element_at(base, -1) != "", F.slice(base, F.lit(1), F.size(base) - 1)).otherwise(base)
-    joined = F.concat(base, F.split(path, "/", -1))
-    # empty segments inside the merged path would double the slashes
-    inner = F.filter(F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != "")
-    relative = F.when(
-        F.size(joined) > 1,
-        F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1)),
-    ).otherwise(joined)
-    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(relative)
-    merged = F.array_join(_drop_dots(segments), "/")
-    needs_dots = path.rlike(r"(^|/)\.\.?(/|$)") | ~path.startswith("/")
-    merged = F.when(needs_dots, merged).otherwise(path)
-    return F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))
+    """Path of a reference whose path is not empty."""
+
+    def relative(parts: Column) -> Column:
+        # empty segments inside the merged path would double the slashes
+        inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s != "")
+        return F.when(
+            F.size(parts) > 1, F.concat(F.slice(parts, 1, 1), inner, F.slice(parts, -1, 1))
+        ).otherwise(parts)
+
+    base = let(
+        F.split(base_path, "/", -1),
+        lambda b: F.when(F.element_at(b, -1) != "", F.slice(b, F.lit(1), F.size(b) - 1)).otherwise(b),
+    )
+    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(
+        let(F.concat(base, F.split(path, "/", -1)), relative)
+    )
+    merged = let(segments, lambda s: F.array_join(_drop_dots(s), "/"))
+    simple = path.startswith("/") & ~path.rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(simple, path).otherwise(
+        let(merged, lambda m: F.when(m.startswith("/"), m).otherwise(F.concat(F.lit("/"), m)))
+    )
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Resolve a reference against a base (RFC 3986, same-scheme references are relative)."""
-    scheme = F.lower(url_part(href, SCHEME))
-    b_scheme = F.lower(url_part(base, SCHEME))
-    b_auth = url_part(base, AUTHORITY)
-    auth, path, query = (url_part(href, g) for g in (AUTHORITY, PATH, QUERY))
-    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-    fragment = F.regexp_extract(href, r"^[^#]*(#.*)?$", 1)
-    b_path, b_query = url_part(base, PATH), url_part(base, QUERY)
-    root = F.concat(b_scheme, F.lit("://"), b_auth)
-    return (
-        F.when(base.isNull() | (base == ""), href)
-        .when(href.isNull() | (href == ""), base)
-        .when((scheme != "") & (scheme != b_scheme), href)
-        .when(auth != "", F.concat(b_scheme, F.lit("://"), auth, path, tail))
-        .when(
-            path == "",
-            F.concat(
-                root,
-                b_path,
-                F.when(query != "", F.concat(F.lit("?"), query))
-                .when(b_query != "", F.concat(F.lit("?"), b_query))
-                .otherwise(""),
-                fragment,
-            ),
+
+    def resolved(x: Column) -> Column:
+        b, h = Parts(x["b"]), Parts(x["h"])
+        tail = F.concat(_question(h.query), h.fragment)
+        root = lambda authority: F.concat(b.scheme, F.lit("://"), authority)
+        return (
+            F.when(F.coalesce(x["base"], F.lit("")) == "", x["href"])
+            .when(F.coalesce(x["href"], F.lit("")) == "", x["base"])
+            .when((h.scheme != "") & (h.scheme != b.scheme), x["href"])
+            .when(h.raw_authority != "", F.concat(root(h.raw_authority), h.path, tail))
+            .when(
+                h.path == "",
+                F.concat(
+                    root(b.raw_authority), b.path, F.when(h.query != "", _question(h.query)).otherwise(_question(b.query)), h.fragment
+                ),
+            )
+            .otherwise(F.concat(root(b.raw_authority), _merge_path(b.path, h.path), tail))
         )
-        .otherwise(F.concat(root, _merge_path(b_path, path), tail))
+
+    both = F.struct(base.alias("base"), href.alias("href"))
+    split = lambda y: F.struct(
+        y["base"].alias("base"), y["href"].alias("href"), split_url(y["base"]).alias("b"), split_url(y["href"]).alias("h")
     )
+    return let(let(both, split), resolved)
 
 
 def canonical_url(absolute: Column, keep_query: bool = True) -> Column:
     """Canonical form of an absolute http(s) URL; anything else becomes null."""
-    scheme = F.lower(url_part(absolute, SCHEME))
-    auth = F.lower(url_part(absolute, AUTHORITY))
-    path = url_part(absolute, PATH)
-    query = url_part(absolute, QUERY)
-    out = F.concat(
-        scheme,
-        F.lit("://"),
-        auth,
-        F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise("") if keep_query else F.lit(""),
+    return with_parts(
+        absolute,
+        lambda p: F.when(
+            p.scheme.isin("http", "https") & (p.authority != ""),
+            F.concat(
+                p.scheme, F.lit("://"), p.authority,
+                F.when(p.path == "", F.lit("/")).otherwise(p.path),
+                _question(p.query) if keep_query else F.lit(""),
+            ),
+        ),
     )
-    return F.when(scheme.isin("http", "https") & (auth != ""), out)
+
+
+def _tidy(href: Column) -> Column:
+    return F.regexp_replace(trim_ws(href), r"[\t\r\n]", "")
 
 
 def normalize_url(href: Column, base: Column | None = None, keep_query: bool = True) -> Column:
     """Absolute, canonical http(s) URL for a raw reference, or null."""
-    clean = F.regexp_replace(trim_ws(href), r"[\t\r\n]", "")
-    absolute = clean if base is None else resolve_url(base, clean)
-    return F.when((clean != "") & ~is_blocked_href(clean), canonical_url(absolute, keep_query))
+    absolute = lambda c: c if base is None else resolve_url(base, c)
+    return let(
+        _tidy(href), lambda c: F.when((c != "") & ~is_blocked_href(c), canonical_url(absolute(c), keep_query))
+    )
 
 
 def link_url(href: Column, base: Column) -> Column:
@@ -133,14 +169,13 @@ def link_url(href: Column, base: Column) -> Column:
     Link attributes are made absolute before they are normalised, so ``#top``
     and an empty reference point at the page itself.
     """
-    absolute = resolve_url(base, F.regexp_replace(trim_ws(href), r"[\t\r\n]", ""))
-    return F.when(~is_blocked_href(absolute), canonical_url(absolute))
+    return let(resolve_url(base, _tidy(href)), lambda a: F.when(~is_blocked_href(a), canonical_url(a)))
 
 
 def is_basic_valid(url: Column) -> Column:
     bad = r"\.(?:" + "|".join(DOWNLOAD_EXTENSIONS) + r")$"
-    ok = F.lower(url_part(url, SCHEME)).isin("http", "https") & (url_part(url, AUTHORITY) != "")
-    return F.coalesce(ok & ~F.lower(url_path(url)).rlike(bad), F.lit(False))
+    ok = lambda p: p.scheme.isin("http", "https") & (p.raw_authority != "") & ~F.lower(p.path).rlike(bad)
+    return F.coalesce(with_parts(url, ok), F.lit(False))
 
 
 def path_segments(url: Column) -> Column:
@@ -150,7 +185,10 @@ def path_segments(url: Column) -> Column:
 def parent_path(url: Column) -> Column:
     """Path without its last segment; null when there are fewer than two parts."""
     parts = F.split(F.regexp_replace(url_path(url), r"^/+|/+$", ""), "/", -1)
-    return F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
+    return let(
+        parts,
+        lambda p: F.when(F.size(p) >= 2, F.array_join(F.slice(p, F.lit(1), F.size(p) - 1), "/")),
+    )
 
 
 def _form_decode(col: Column) -> Column:
@@ -163,32 +201,27 @@ def _form_encode(col: Column) -> Column:
 
 def increment_page_param(url: Column) -> Column:
     """Array of raw next-page URLs, one per numeric paging key in fixed key order."""
+    pair = lambda kv: F.struct(
+        _form_decode(F.regexp_extract(kv, r"^([^=]*)", 1)).alias("k"),
+        _form_decode(F.regexp_extract(kv, r"^[^=]*=?(.*)$", 1)).alias("v"),
+    )
     query = url_part(url, QUERY)
-    raw = F.filter(F.split(query, "&"), lambda kv: kv != "")
-    pairs = F.transform(
-        raw,
-        lambda kv: F.struct(
-            _form_decode(F.regexp_extract(kv, r"^([^=]*)", 1)).alias("k"),
-            _form_decode(F.regexp_extract(kv, r"^[^=]*=?(.*)$", 1)).alias("v"),
-        ),
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda kv: kv != ""), pair)
+    # a repeated key keeps its first place and its last value
+    last_value = lambda ps: F.transform(
+        F.array_distinct(F.transform(ps, lambda p: p["k"])),
+        lambda k: F.element_at(F.filter(ps, lambda p: p["k"] == k), -1),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    value = lambda key: F.element_at(F.filter(pairs, lambda p: p["k"] == key), -1)["v"]
-    head = F.regexp_extract(url, r"^[^?#]*", 0)
-    candidates = []
-    for key in PAGE_KEYS:
-        current = F.when(F.array_contains(keys, key), value(F.lit(key)))
-        bumped = (F.regexp_extract(current, r"^([0-9]+)$", 1).try_cast("decimal(38,0)") + 1).cast("string")
-        rebuilt = F.array_join(
-            F.transform(
-                keys,
-                lambda k, key=key, bumped=bumped: F.concat(
-                    _form_encode(k), F.lit("="), F.when(k == key, bumped).otherwise(_form_encode(value(k)))
-                ),
-            ),
-            "&",
-        )
-        candidates.append(F.when(bumped.isNotNull(), F.concat(head, F.lit("?"), rebuilt)))
-    found = F.array_compact(F.array(*candidates))
+
+    def bumped(settings: Column) -> Column:
+        def rebuilt(key: Column) -> Column:
+            new = lambda p: F.when(p["k"] == key, (p["v"].cast("decimal(38,0)") + 1).cast("string")).otherwise(_form_encode(p["v"]))
+            return F.array_join(F.transform(settings, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), new(p))), "&")
+
+        numeric = F.transform(F.filter(settings, lambda p: p["v"].rlike(r"^[0-9]{1,37}$")), lambda p: p["k"])
+        usable = F.filter(F.array(*[F.lit(k) for k in PAGE_KEYS]), lambda k: F.array_contains(numeric, k))
+        head = F.regexp_extract(url, r"^[^?#]*", 0)
+        return F.transform(usable, lambda k: F.concat(head, F.lit("?"), rebuilt(k)))
+
     appended = F.concat(url, F.when(query != "", F.lit("&")).otherwise(F.lit("?")), F.lit("page=2"))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(appended))
+    return let(let(let(pairs, last_value), bumped), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(appended)))

@@ -185,8 +185,11 @@ def _escape(col: Column) -> Column:
     return F.when(col.rlike("[&<>]"), out).otherwise(col)
 
 
-def _event(key: Column, rank: Column, piece: Column) -> Column:
-    return F.struct(key.cast("int").alias("key"), rank.cast("int").alias("rank"), piece.alias("piece"))
+def _event(key: Column, rank: Column, piece: Column, place: Column | None = None) -> Column:
+    place = F.lit(0) if place is None else place
+    return F.struct(
+        key.cast("int").alias("key"), rank.cast("int").alias("rank"), place.cast("int").alias("place"), piece.alias("piece")
+    )
 
 
 def markup(annotate: bool = False, notes: bool = False) -> Column:
@@ -234,6 +237,7 @@ def markup(annotate: bool = False, notes: bool = False) -> Column:
                     close_key(_node(x["parent"])),
                     -2 * _node(x["parent"])["depth"] - 1,
                     F.concat(F.lit("<!-- truncated "), x["n"], F.lit(" items -->")),
+                    x["first"],
                 ),
             )
         )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.functions.text import decode_entities, strip_text
+from webcorpus.functions.text import decode_entities, let, strip_text
 
 TOKEN_RE = (
     r"(?is)<!--.*?-->|<[!?][^>]*>"
@@ -70,15 +70,12 @@ def page_text(html: Column) -> Column:
 
 def attribute(tag_token: Column, name: str) -> Column:
     """Value of an attribute in an open-tag token; null when it is absent."""
-    head = rf"""(?is)^<[a-z][^\s/>]*(?:[\s/]+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*?[\s/]+{name}"""
-    has = tag_token.rlike(head + r"(?=[\s=/>])")
-    value = head + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    return F.when(
-        has,
-        decode_entities(
-            F.concat(*[F.regexp_extract(tag_token, value, g) for g in (1, 2, 3)])
-        ),
+    other = rf"""(?:[\s/]++(?!{name}[\s=/>])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+)*+"""
+    found = rf"""(?is)^<[a-z][^\s/>]*+{other}[\s/]++({name}(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+)"""
+    value = lambda raw: F.when(
+        raw != "", decode_entities(F.regexp_extract(raw, r"""(?s)=\s*["']?(.*?)["']?$""", 1))
     )
+    return let(F.regexp_extract(tag_token, found, 1), value)
 
 
 def anchors(pages: DataFrame) -> DataFrame:
