@@ -114,7 +114,7 @@ def infer_url_schema(urls: DataFrame, group: list[str]) -> DataFrame:
         share(is_digits(s)).alias("r_digits"),
         share(is_date_like(s)).alias("r_date"),
         share(is_token_like(s)).alias("r_token"),
-        F.max_by(s, F.struct(n, -F.col("first"))).alias("mode"),
+        F.min_by(s, F.struct((-n).alias("k"), "first")).alias("mode"),
     )
     slot = (
         F.when(F.col("r_digits") >= 0.6, "{id}")
@@ -269,9 +269,9 @@ def detect_url_pattern(urls: DataFrame, group: list[str]) -> DataFrame:
     seg = urls.groupBy(*group, first_segment(F.col("url")).alias("seg")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     top = seg.groupBy(*group).agg(
         F.sum("n").alias("total"),
-        F.max(F.when(F.col("seg").isNotNull(), F.struct("n", -F.col("first"), "seg"))).alias("top"),
+        F.min(F.when(F.col("seg").isNotNull(), F.struct((-F.col("n")).alias("k"), "first", "seg"))).alias("top"),
     )
-    ok = (F.col("total") >= 3) & (F.col("top.n") >= F.col("total") * 0.3)
+    ok = (F.col("total") >= 3) & (-F.col("top.k") >= F.col("total") * 0.3)
     return top.select(*group, "total", F.when(ok, F.concat(F.lit("/"), F.col("top.seg"), F.lit("/*"))).alias("pattern"))
 
 

@@ -61,6 +61,10 @@ def _rows(dom: DataFrame, strategy: str, targets: Column) -> DataFrame:
     )
 
 
+def _targets_of_all(xpaths: tuple[str, ...]) -> Column:
+    return F.flatten(F.transform(F.array(*[F.lit(x) for x in xpaths]), _targets))
+
+
 def link_targets(selector: Column | None) -> Column:
     """Targets of the given selector; the built-in one is used only if that finds nothing at all."""
     builtin = _targets(LINK_XPATH)
@@ -82,11 +86,11 @@ def next_by_link(dom: DataFrame, selector: str | None = None) -> DataFrame:
 
 
 def next_by_click(dom: DataFrame) -> DataFrame:
-    return _rows(dom, "click", F.concat(*[_targets(x) for x in CLICK_XPATHS]))
+    return _rows(dom, "click", _targets_of_all(CLICK_XPATHS))
 
 
 def next_by_load_more(dom: DataFrame) -> DataFrame:
-    return _rows(dom, "load_more", F.concat(*[_targets(x) for x in MORE_XPATHS]))
+    return _rows(dom, "load_more", _targets_of_all(MORE_XPATHS))
 
 
 def next_by_param(pages: DataFrame) -> DataFrame:
@@ -95,13 +99,19 @@ def next_by_param(pages: DataFrame) -> DataFrame:
     return _rows(pages, "infinite_scroll", targets)
 
 
+def _candidate_of(rank: int, strategy: str):
+    return lambda t, i: F.struct(
+        F.lit(rank).alias("srank"), F.lit(strategy).alias("strategy"), i.alias("ord"), t.alias("target")
+    )
+
+
 def next_candidates(dom: DataFrame, selector: str | None = None) -> DataFrame:
     """All candidates of all strategies in one scan of the page rows."""
     column = F.col(selector) if selector else None
     per = {
         "link": link_targets(column),
-        "click": F.concat(*[_targets(x) for x in CLICK_XPATHS]),
-        "load_more": F.concat(*[_targets(x) for x in MORE_XPATHS]),
+        "click": _targets_of_all(CLICK_XPATHS),
+        "load_more": _targets_of_all(MORE_XPATHS),
         "infinite_scroll": F.transform(increment_page_param(F.col("url")), lambda u: normalize_url(u, F.col("url"))),
     }
     packed = F.flatten(
@@ -109,7 +119,7 @@ def next_candidates(dom: DataFrame, selector: str | None = None) -> DataFrame:
             *[
                 F.transform(
                     arr,
-                    lambda t, i, k=k, s=s: F.struct(F.lit(k).alias("srank"), F.lit(s).alias("strategy"), i.alias("ord"), t.alias("target")),
+                    _candidate_of(k, s),
                 )
                 for k, (s, arr) in enumerate(per.items())
             ]
