@@ -384,19 +384,19 @@ ATTRS = ("class", "id", "data-sku", "data-kind", "data-unit", "data-url", "data-
 
 
 def attr_rows(el: str = "el") -> str:
-    """CTE at(page_id, pre, attr, value)."""
+    """CTE att(page_id, pre, attr, value)."""
     values = ", ".join(
         "CASE WHEN t LIKE '% hidden>' THEN '' END" if a == "hidden" else attr("t", a) for a in ATTRS
     )
     names = ", ".join(f"'{a}'" for a in ATTRS)
-    return (f"at AS (SELECT page_id, pre, attr, value FROM (SELECT page_id, pre, unnest([{names}]) AS attr, "
+    return (f"att AS (SELECT page_id, pre, attr, value FROM (SELECT page_id, pre, unnest([{names}]) AS attr, "
             f"unnest([{values}]) AS value FROM {el}) WHERE value IS NOT NULL)")
 
 
 SINGLE = f"""CASE WHEN attr IN ('data-testid', 'data-test', 'data-cy', 'role', 'aria-label', 'aria-labelledby', 'itemprop', 'itemtype', 'name') THEN 'stable'
   WHEN regexp_matches(attr, '^(data-reactid|data-react-checksum|data-v-|_ngcontent-|data-styled-|jsname|jsaction|jscontroller)') THEN 'random'
   WHEN regexp_matches(value, {RANDOM}) THEN 'random' ELSE 'unknown' END"""
-S["single_attributes"] = with_src(SHOP_PAGES, texts=False) + ", " + attr_rows() + f" SELECT attr, {SINGLE} AS label, count(*) AS n FROM at GROUP BY ALL"
+S["single_attributes"] = with_src(SHOP_PAGES, texts=False) + ", " + attr_rows() + f" SELECT attr, {SINGLE} AS label, count(*) AS n FROM att GROUP BY ALL"
 SIBLINGS = f"""c AS (SELECT page_id, parent, tag, pre, cls, {cls_tokens('cls')} AS toks FROM el WHERE parent >= 0),
 sib AS (SELECT a.page_id, a.pre, b.pre AS other, b.toks AS otoks FROM c a JOIN c b ON a.page_id = b.page_id AND a.parent = b.parent AND a.tag = b.tag
   AND (list_has_any(a.toks, b.toks) OR (coalesce(a.cls, '') = '' AND coalesce(b.cls, '') = '')))"""
@@ -404,8 +404,8 @@ LISTS_BARE = with_src(LIST_PAGES_SQL, texts=False)
 S["attribute_stability"] = LISTS_BARE + ", " + attr_rows() + ", " + SIBLINGS + f""",
 st AS (
   SELECT x.page_id, x.pre, x.attr, any_value(x.value) AS value, count(s.other) AS total, count(DISTINCT CASE WHEN s.other IS NOT NULL THEN coalesce(y.value, '') END) AS n
-  FROM at x LEFT JOIN sib s ON s.page_id = x.page_id AND s.pre = x.pre
-  LEFT JOIN at y ON y.page_id = s.page_id AND y.pre = s.other AND y.attr = x.attr GROUP BY x.page_id, x.pre, x.attr
+  FROM att x LEFT JOIN sib s ON s.page_id = x.page_id AND s.pre = x.pre
+  LEFT JOIN att y ON y.page_id = s.page_id AND y.pre = s.other AND y.attr = x.attr GROUP BY x.page_id, x.pre, x.attr
 )
 SELECT page_id, pre, attr, value, CASE WHEN {SINGLE} <> 'unknown' THEN {SINGLE} WHEN total < 2 THEN 'unknown' WHEN n = 1 THEN 'stable'
   WHEN n = total THEN 'business' WHEN n / total < 0.3 THEN 'business_category' ELSE 'random' END AS classification FROM st"""
@@ -429,7 +429,7 @@ w AS (SELECT *, lag(tag) OVER x AS prev_tag, lag(text) OVER x AS pt, lead(tag) O
 SELECT page_id, pre, CASE WHEN parent >= 0 THEN prev_tag END AS prev_tag, CASE WHEN prev_tag IS NOT NULL AND parent >= 0 THEN substring(pt, 1, 50) END AS prev_text,
   CASE WHEN parent >= 0 THEN next_tag END AS next_tag, CASE WHEN next_tag IS NOT NULL AND parent >= 0 THEN coalesce(nc, '') END AS next_class FROM w WHERE pre IS NOT NULL"""
 S["element_contexts"] = """
-SELECT o_orderkey AS page_id, 7 + 0 AS pre, concat('Target: <h1 data-testid="order-title" [STABLE]>', chr(10), 'Target text: "Order ', o_orderkey, '"', chr(10),
+SELECT o_orderkey AS page_id, 8 AS pre, concat('Target: <h1 data-testid="order-title" [STABLE]>', chr(10), 'Target text: "Order ', o_orderkey, '"', chr(10),
  'Ancestors (nearest first):', chr(10), '  - <div class="main[STABLE]" id="main" [UNKNOWN]>', chr(10), '  - <body>', chr(10), '  - <html>', chr(10),
  'Siblings (same parent):', chr(10), '  - next: <span class="price[STABLE]">', chr(10), '  - next: <span class="status[STABLE] st-', o_orderstatus, '[STABLE]" hidden="" [UNKNOWN]>', chr(10),
  CASE WHEN o_orderpriority = '1-URGENT' THEN '  - next: <b class="flag[STABLE]" style="display:none" [UNKNOWN]>' ELSE '  - next: <div class="body[STABLE]">' END, chr(10),
@@ -695,7 +695,21 @@ UNION ALL SELECT o_orderkey - 1, 'followed', 'Order ' || (o_orderkey - 1) FROM o
 S["templates_reanalysed"] = """SELECT CAST(o_orderkey AS VARCHAR) AS template_id, o_orderkey // 200 % 6 = 0 AS replaced, 2 AS n FROM orders WHERE o_orderkey % 200 = 0"""
 
 
+def _doubles(name: str) -> str:
+    """Literal confidences are decimals in SQL; the engine has doubles."""
+    for column in ("new_confidence", "confidence"):
+        if name in DECIMAL and column in S[name]:
+            return f"SELECT * REPLACE (CAST({column} AS DOUBLE) AS {column}) FROM ({S[name]})"
+    return S[name]
+
+
+DECIMAL = {
+    "selectors_generated", "selectors_by_ancestor", "selectors_chosen", "selectors_best", "fields_healed",
+    "page_types_parsed", "detections_picked", "list_candidates", "templates_built",
+}
+
+
 def statements() -> dict[str, str]:
     import entry_queries
 
-    return {k: v for k, v in S.items() if k in entry_queries.QUERIES}
+    return {k: _doubles(k) for k in S if k in entry_queries.QUERIES}
