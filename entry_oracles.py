@@ -634,8 +634,8 @@ S["cascade_flags"] = f"WITH {HISTORY}, {flags('h')} SELECT template_id, pos AS s
 S["attempts_after_repair"] = """
 SELECT template_id, field, CASE last % 3 WHEN 0 THEN n WHEN 1 THEN 0 ELSE n + 1 END AS attempts, CASE last % 3 WHEN 0 THEN n WHEN 1 THEN 0 ELSE n + 1 END < 3 AS can_heal
 FROM (SELECT event_type AS template_id, CAST(user_id AS VARCHAR) AS field, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL)"""
-S["history_after_reset"] = f"""WITH {HISTORY}, r AS (SELECT template_id, field, max(seq) AS at FROM h WHERE seq % 97 = 0 GROUP BY ALL),
-k AS (SELECT h.* FROM h LEFT JOIN r USING (template_id, field) WHERE at IS NULL OR seq > at), {flags('k')} SELECT template_id, field, seq, flagged FROM fl"""
+S["history_after_reset"] = f"""WITH {HISTORY}, r AS (SELECT template_id, field, max(seq) AS last FROM h WHERE seq % 97 = 0 GROUP BY ALL),
+k AS (SELECT h.* FROM h LEFT JOIN r USING (template_id, field) WHERE last IS NULL OR seq > last), {flags('k')} SELECT template_id, field, seq, flagged FROM fl"""
 
 
 def similar(a: str, b: str) -> str:

@@ -356,6 +356,12 @@ def element_contexts(spark, d):
 
 # ---- selectors -----------------------------------------------------------
 
+def with_each(df, names, rows):
+    """Every row of ``df`` with each of a few literal rows."""
+    lit = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names.split(), row)]) for row in rows])
+    return df.select("*", F.inline(lit))
+
+
 def table(spark, names, rows):
     return spark.createDataFrame(rows, names)
 
@@ -560,7 +566,10 @@ def export_documents(spark, d):
     r = extract.extract_list(templated(shop_lists(spark, d)), c).withColumn("template_id", F.col("page_id").cast("string"))
     ids = r.select("template_id").distinct()
     t = ids.select("template_id", F.lit("list").alias("page_type"))
-    f = ids.crossJoin(F.broadcast(s.drop("template_id")))
+    f = with_each(
+        ids, "ord field description xpath extract confidence",
+        [(0, "name", "", ".//a", "text", 0.9), (1, "link", "", "a/@href", "attribute", 0.8)],
+    )
     return tables.export_document(r, t, f, "https://shop.example.com/")
 
 
@@ -615,11 +624,12 @@ def pattern_supports(spark, d):
 
 def archive_links(spark, d):
     """Links of three candidate selectors over all archive lists; group = archive chain."""
-    cands = table(spark, "cand int, xpath string", [(0, "//a/@href"), (1, "//ul//a/@href"), (2, "//div[contains(@class,'menu')]//a/@href")])
+    paths = [(0, "//a/@href"), (1, "//ul//a/@href"), (2, "//div[contains(@class,'menu')]//a/@href")]
+    cands = table(spark, "cand int, xpath string", paths)
     l = links.extract_links(shop_lists(spark, d), cands)
     chain = F.floor((F.col("page_id") - LIST_BASE) / 10)
     l = l.select(chain.alias("chain"), "cand", F.struct("page_id", "pre").alias("ord"), "target")
-    return l, l.select("chain").distinct().crossJoin(F.broadcast(cands))
+    return l, with_each(l.select("chain").distinct(), "cand xpath", paths)
 
 
 @query
@@ -861,12 +871,14 @@ def healed_values(spark, d):
 
 def broken(spark, d):
     """Selectors whose class was renamed on the site."""
-    s = table(spark, "field string, xpath string, extract string, attribute_name string, sample_value string", [
+    rows = [
         ("price", ".//span[contains(@class,'prices')]/text()", "text", None, "$ 10"),
         ("prev", "//a[contains(@class,'prew')]/@href", "attribute", "href", None),
         ("cost", ".//span[contains(@class,'zzzzzzzzzz')]", "text", None, "$ 7"),
-    ])
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")).crossJoin(F.broadcast(s))
+    ]
+    return with_each(
+        read(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")), "field xpath extract attribute_name sample_value", rows
+    )
 
 
 @query
@@ -1024,7 +1036,10 @@ def archive_job(spark, d):
     p = shop_pages(spark, d)
     dm = shred.shred_html(p)
     seeds = list_pages(spark, d).filter((F.col("page_id") - LIST_BASE) % 10 == 0).select("page_id")
-    c = seeds.select(F.col("page_id").alias("seed")).crossJoin(F.broadcast(table(spark, "cand int, xpath string", [(0, "//div[contains(@class,'menu')]//a/@href"), (1, "//ul//a/@href")])))
+    c = with_each(
+        seeds.select(F.col("page_id").alias("seed")), "cand xpath",
+        [(0, "//div[contains(@class,'menu')]//a/@href"), (1, "//ul//a/@href")],
+    )
     t, s = shop_analysis(spark, d)
     return jobs.list_job(p, dm, seeds, c, t, s, max_pages=1000, max_list_pages=10)
 

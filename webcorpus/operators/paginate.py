@@ -128,9 +128,12 @@ def next_candidates(dom: DataFrame, selector: str | None = None) -> DataFrame:
     return dom.select("page_id", "url", F.explode(packed).alias("c")).select("page_id", "url", "c.*").filter("target IS NOT NULL")
 
 
-def first_unvisited(candidates: DataFrame, visited: DataFrame, key: list[str]) -> DataFrame:
-    """(key, n_candidates, target): first candidate (by ord) that is not in visited(key, target)."""
-    marked = candidates.join(visited.select(*key, "target").distinct().withColumn("old", F.lit(True)), [*key, "target"], "left")
+def first_unvisited(
+    candidates: DataFrame, visited: DataFrame, key: list[str], visited_key: list[str] | None = None
+) -> DataFrame:
+    """(key, n_candidates, target): first candidate (by ord) that is not in visited(visited_key, target)."""
+    on = [*(visited_key or key), "target"]
+    marked = candidates.join(visited.select(*on).distinct().withColumn("old", F.lit(True)), on, "left")
     fresh = F.when(F.col("old").isNull(), F.struct("ord", "target"))
     return marked.groupBy(*key).agg(F.count("*").alias("n_candidates"), F.min(fresh).alias("f")).select(
         *key, "n_candidates", F.col("f.target").alias("target")
@@ -199,8 +202,9 @@ def follow_pagination(
     chain pages: seed, n, page_id, url. trace: seed, round, srank, strategy,
     candidate_count, target, progress, reason, total_pages.
     """
-    order = pages.sparkSession.createDataFrame(list(enumerate(strategies)), "srank INT, strategy STRING")
-    cand = candidates.drop("srank").join(F.broadcast(order), "strategy")
+    modes = F.array(*[F.struct(F.lit(i).alias("srank"), F.lit(s).alias("strategy")) for i, s in enumerate(strategies)])
+    place = F.array_position(F.array(*[F.lit(s) for s in strategies]), F.col("strategy")).cast("int") - 1
+    cand = candidates.withColumn("srank", place).filter("srank >= 0")
     keys = page_keys(pages)
     start = seeds.select(F.col("page_id").alias("seed")).join(
         pages.select(F.col("page_id").alias("seed"), "url"), "seed"
@@ -216,9 +220,9 @@ def follow_pagination(
         ended = (F.col("pages") >= max_target) | (F.col("stalled") >= max_stalled)
         state = state.withColumn("broke", F.col("broke") | ended)
         live = state.filter(~F.col("broke"))
-        grid = live.select("seed", "page_id", "pages").crossJoin(F.broadcast(order))
+        grid = live.select("seed", "pages", F.inline(modes))
         found = live.select("seed", "page_id").join(cand.select("page_id", "srank", "ord", "target"), "page_id")
-        picked = first_unvisited(found, visited.select("seed", F.col("url").alias("target")), ["seed", "srank"])
+        picked = first_unvisited(found, visited.select("seed", F.col("url").alias("target")), ["seed", "srank"], ["seed"])
         tried = grid.join(picked, ["seed", "srank"], "left").join(keys, "target", "left")
         win = F.min(F.when(F.col("to_page").isNotNull(), F.col("srank"))).over(W.partitionBy("seed"))
         step = cut_lineage(tried.withColumn("win", win).filter("win IS NULL OR srank <= win"))
