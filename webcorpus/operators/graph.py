@@ -48,8 +48,11 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_p
     frontier with the edges and one anti join with what was seen. ``max_pages``
     bounds the pages per seed as the crawl budget does; None removes the bound.
     """
-    # a page leaves its site only if the edge table does, so the host test is per edge
-    hops = edges.filter(get_domain(F.col("src")) == get_domain(F.col("dst"))).select("src", "ord", "dst")
+    # a page leaves its site only if the edge table does, so the host test is per edge;
+    # every level reads the edges again, so they are written once
+    hops = cut_lineage(
+        edges.filter(get_domain(F.col("src")) == get_domain(F.col("dst"))).select("src", "ord", "dst")
+    )
     seen = cut_lineage(
         seeds.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("rank")).distinct()
     )

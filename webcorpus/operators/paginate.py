@@ -134,9 +134,10 @@ def first_unvisited(
     """(key, n_candidates, target): first candidate (by ord) that is not in visited(visited_key, target)."""
     on = [*(visited_key or key), "target"]
     marked = candidates.join(visited.select(*on).distinct().withColumn("old", F.lit(True)), on, "left")
-    fresh = F.when(F.col("old").isNull(), F.struct("ord", "target"))
+    extra = [c for c in candidates.columns if c not in (*key, "ord", "target")]
+    fresh = F.when(F.col("old").isNull(), F.struct("ord", "target", *extra))
     return marked.groupBy(*key).agg(F.count("*").alias("n_candidates"), F.min(fresh).alias("f")).select(
-        *key, "n_candidates", F.col("f.target").alias("target")
+        *key, "n_candidates", F.col("f.target").alias("target"), *[F.col(f"f.{c}").alias(c) for c in extra]
     )
 
 
@@ -204,8 +205,12 @@ def follow_pagination(
     """
     modes = F.array(*[F.struct(F.lit(i).alias("srank"), F.lit(s).alias("strategy")) for i, s in enumerate(strategies)])
     place = F.array_position(F.array(*[F.lit(s) for s in strategies]), F.col("strategy")).cast("int") - 1
-    cand = candidates.withColumn("srank", place).filter("srank >= 0")
-    keys = page_keys(pages)
+    # candidates and the pages they lead to are looked up in every round: written once
+    cand = cut_lineage(
+        candidates.withColumn("srank", place).filter("srank >= 0")
+        .join(page_keys(pages), "target", "left")
+        .select("page_id", "srank", "ord", "target", "to_page")
+    )
     start = seeds.select(F.col("page_id").alias("seed")).join(
         pages.select(F.col("page_id").alias("seed"), "url"), "seed"
     )
@@ -221,9 +226,9 @@ def follow_pagination(
         state = state.withColumn("broke", F.col("broke") | ended)
         live = state.filter(~F.col("broke"))
         grid = live.select("seed", "pages", F.inline(modes))
-        found = live.select("seed", "page_id").join(cand.select("page_id", "srank", "ord", "target"), "page_id")
+        found = live.select("seed", "page_id").join(cand, "page_id")
         picked = first_unvisited(found, visited.select("seed", F.col("url").alias("target")), ["seed", "srank"], ["seed"])
-        tried = grid.join(picked, ["seed", "srank"], "left").join(keys, "target", "left")
+        tried = grid.join(picked, ["seed", "srank"], "left")
         win = F.min(F.when(F.col("to_page").isNotNull(), F.col("srank"))).over(W.partitionBy("seed"))
         step = cut_lineage(tried.withColumn("win", win).filter("win IS NULL OR srank <= win"))
         won = F.col("srank") == F.col("win")

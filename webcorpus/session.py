@@ -65,10 +65,12 @@ def join_small(
 ) -> DataFrame:
     """Join a large table with a table that is usually small.
 
-    The small side is broadcast when a bounded count proves it small. Otherwise
-    it is copied once per salt and the large side is spread over the salts by
-    ``spread``, so one hot key is shared by ``SALTS`` tasks.
+    The small side is written out first, so that counting and joining it do not
+    compute it twice. It is broadcast when a bounded count proves it small.
+    Otherwise it is copied once per salt and the large side is spread over the
+    salts by ``spread``, so one hot key is shared by ``SALTS`` tasks.
     """
+    small = cut_lineage(small)
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
