@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions.text import let, normalize_text
 from webcorpus.operators.shred import subtree_text
-from webcorpus.session import join_small
+from webcorpus.session import cut_lineage, fits_broadcast, join_small
 
 _QUOTED = r"""'[^']*'|"[^"]*\""""
 SUFFIX_RE = r"/(?:text\(\)|@[\w:\-]+)$"
@@ -34,6 +34,7 @@ _ATOMS = {
 }
 
 INTS = "array<int>"
+MAX_UNKEYED = 10_000
 
 
 def split_suffix(xpath: Column) -> tuple[Column, Column]:
@@ -181,11 +182,19 @@ def values_of(matched: Column, suffix: Column, text: Column, nodes: Column, text
 
 
 def with_selectors(pages: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
-    """Pair pages with their selectors: all of them, or those of the page's template."""
-    if template is None:
-        one = F.lit(1)
-        return join_small(pages.withColumn("_k", one), selectors.withColumn("_k", one), ["_k"], "page_id").drop("_k")
-    return join_small(pages, selectors, [template], "page_id")
+    """Pair pages with their selectors: all of them, or those of the page's template.
+
+    Without a template every selector applies to every page. The selectors then
+    travel as one array, a scalar subquery that runs once, so their number is checked.
+    """
+    if template is not None:
+        return join_small(pages, selectors, [template], "page_id")
+    selectors = cut_lineage(selectors)
+    if not fits_broadcast(selectors, MAX_UNKEYED):
+        raise ValueError(f"more than {MAX_UNKEYED} selectors need a template key")
+    names = selectors.columns
+    packed = selectors.agg(F.collect_list(F.struct(*names)).alias("s")).scalar()
+    return pages.withColumn("_selectors", packed).select("*", F.inline("_selectors")).drop("_selectors")
 
 
 def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
