@@ -52,15 +52,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def orders_by(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Orders spread over all cores: markup is much larger than the rows it is made of."""
+    orders = read(spark, sf_dir, "orders").withColumn("k", F.expr(key))
+    return orders.repartition(spark.sparkContext.defaultParallelism, "k")
+
+
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(
+    return orders_by(spark, sf_dir, "o_orderkey").selectExpr(
         "o_orderkey AS page_id", f"{_spark(DETAIL_URL)} AS url", f"{_spark(DETAIL_HTML)} AS html"
     )
 
 
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every list holds at most twenty orders, so the grouping is bounded by construction."""
-    rows = read(spark, sf_dir, "orders").selectExpr(f"{_spark(LIST_NO)} AS n", "o_orderkey", f"{_spark(CARD)} AS card")
+    rows = orders_by(spark, sf_dir, _spark(LIST_NO)).selectExpr("k AS n", "o_orderkey", f"{_spark(CARD)} AS card")
     cards = rows.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "card"))).alias("c"))
     joined = cards.select("n", F.array_join(F.transform("c", lambda x: x["card"]), "").alias("cards"))
     return joined.selectExpr(f"n + {LIST_BASE} AS page_id", f"{_spark(LIST_URL)} AS url", f"{_spark(LIST_HTML)} AS html")
