@@ -71,7 +71,7 @@ def test_factored_siblings_equal_pairs(pages):
     items = "".join("<li" + (f' class="{" ".join(rng.sample("abcdefg", rng.randint(1, 3)))} u{i}"' if rng.random() < 0.8 else "") + ">" for i in range(40))
     e = shred.elements(shred.shred_html(pages("<ul>" + items + "</ul>"))).filter("tag = 'li'")
     sets, totals, _, _ = stability.sibling_stats(e)
-    got = {(r.page_id, r.pre): r.total for r in sets.join(totals, ["page_id", "parent", "tag", "linked"], "left").collect()}
+    got = {(r.page_id, r.pre): r.total for r in sets.join(totals, ["page_id", "set_id"], "left").collect()}
     rows = [(r.page_id, r.pre, r.parent, r.tag, (r.cls or "").split()) for r in e.select("page_id", "pre", "parent", "tag", "cls").collect()]
     assert {k: v or 1 for k, v in got.items()} == brute_totals(rows)
 
