@@ -8,7 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcorpus.llm.ann import nearest
+from webcorpus.llm.decontam import leaks
+from webcorpus.llm.html_extract import extract_main_text
+from webcorpus.llm.langid import dictionaries, identify
 from webcorpus.llm.line_dedup import dedup_lines
+from webcorpus.llm.near_dup import near_duplicates
 from webcorpus.llm.packing import pack_documents
 from webcorpus.llm.sharding import shard_records
 
@@ -17,12 +22,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best occurrence of each benchmark item in each document, within the error budget."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 by doc_id."""
     placed = shard_records(_table(spark, sf_dir, "documents"), [1.0] * 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 2-word shingles have a similarity of 0.8 or more."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from documents outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    content = dictionaries(docs.where(~held_out).select("text", "lang"))
+    found = identify(docs, content)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4,096 tokens."""
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -34,7 +69,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op8_packing, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_sharding, op3_html_extraction, op4_minhash, op5_nearest, op7_language, op8_packing,
+        op10_line_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
