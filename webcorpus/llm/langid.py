@@ -7,6 +7,7 @@ the language, and a narrow margin rejects it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,16 +18,24 @@ from pyspark.sql.window import Window
 from webcorpus.llm.common import pick, stage, tuned
 
 #: Bytes of raw content for each language; whole texts are taken while they begin below this.
-DICTIONARY_BYTES = 65_536
+DICTIONARY_BYTES = 131_072
 #: Texts drawn for each language to fill the dictionary; the draw is by the hash of the text.
-DRAWN_TEXTS = 400
+DRAWN_TEXTS = 800
 #: A text is compressed in stretches of this many bytes, so that the dictionary counts in all of it.
 STRETCH_BYTES = 4_096
 #: Relative margin between the two smallest results below which a prediction is rejected.
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.005
 LEVEL = 3
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The words of a text in lower case with single spaces; no signs and digits."""
+    return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+
+
 def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DRAWN_TEXTS) -> dict[str, bytes]:
     """Raw content by language from rows (text, lang); a bounded sample of labelled rows.
 
@@ -50,7 +59,7 @@ def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DR
     out: dict[str, bytes] = {}
     # the end of a dictionary is the cheapest to refer to, so the order of the hash decides
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
-        out[lang] = (out.get(lang, b"") + text.encode() + b"\n")[: 2 * size]
+        out[lang] = (out.get(lang, b"") + letters(text) + b"\n")[: 2 * size]
     return out
 
 
@@ -67,20 +76,20 @@ class Compressor:
             known.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def sizes(self, text: str) -> list[int]:
+    def sizes(self, raw: bytes) -> list[int]:
         """Compressed bytes of the whole text by language."""
-        raw = text.encode("utf-8", "replace")
         parts = [raw[i : i + STRETCH_BYTES] for i in range(0, len(raw), STRETCH_BYTES)]
         return [sum(len(c.compress(part)) for part in parts) for c in self.by]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected); ``und`` for null and for texts without letters."""
-        if not self.by or text is None or not any(map(str.isalpha, text)):
+        raw = letters(text or "")
+        if not self.by or not raw:
             return "und", 0.0, True
-        sizes = self.sizes(text)
+        sizes = self.sizes(raw)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
-        second = sizes[order[1]] if len(order) > 1 else max(best, len(text.encode("utf-8", "replace")))
+        second = sizes[order[1]] if len(order) > 1 else max(best, len(raw))
         margin = (second - best) / second if second else 0.0
         return self.languages[order[0]], margin, margin < MIN_MARGIN
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from webcorpus.llm.ann import nearest
 from webcorpus.llm.decontam import leaks
 from webcorpus.llm.html_extract import extract_main_text
+from webcorpus.llm.importance import score_quality
 from webcorpus.llm.langid import dictionaries, identify
 from webcorpus.llm.line_dedup import dedup_lines
 from webcorpus.llm.near_dup import near_duplicates
 from webcorpus.llm.packing import pack_documents
 from webcorpus.llm.sharding import shard_records
+from webcorpus.llm.tokencount import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,11 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of unigram pieces of every document."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learned from documents outside the held-out quarter."""
     docs = _table(spark, sf_dir, "documents")
@@ -63,6 +70,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight, Gumbel key and choice of every document."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that later occurrences of a three-line window cover."""
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text")
@@ -71,8 +83,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_sharding, op3_html_extraction, op4_minhash, op5_nearest, op7_language, op8_packing,
-        op10_line_dedup,
+        op1_decontamination, op2_sharding, op3_html_extraction, op4_minhash, op5_nearest, op6_token_counts,
+        op7_language, op8_packing, op9_quality, op10_line_dedup,
     )
 }
 
