@@ -3,8 +3,8 @@
 Copies with the same shingle set are one node from the start. A bucket of a band
 never pairs all its nodes. First each node is checked against the smallest node
 of the bucket that it shares most bands with, and components are formed. Then
-only buckets that still hold several components are searched: tasks compare
-signatures in blocks of bounded size and give back which nodes have an agreeing
+only buckets that still hold several components are searched, together if they
+have the same largest component: tasks compare signatures in blocks of bounded size and give back which nodes have an agreeing
 partner in which other component. These nodes meet on full sets, again in blocks
 inside tasks, which give back one confirmed link for a node and a component.
 """
@@ -192,22 +192,25 @@ def _in_blocks(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], p
 
 
 def _hopeful(shared: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Rows (hub, node, few_side): nodes with an agreeing partner in another component of one of their buckets.
+    """Rows (hub, node, few_side): nodes with an agreeing partner in another component that they share a bucket with.
 
-    Of two such components the one with the smaller id is the hub; its nodes are
-    the wide side, those of the other the few side.
+    Buckets of which the same component is the largest are searched together, so
+    that nodes which share many bands are compared once. Of two agreeing
+    components the one with the smaller id is the hub; its nodes are the wide
+    side, those of the other the few side.
     """
     labelled = shared.select("bucket", "node").join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"),
-        F.max_by("component", F.struct("n", "component")).alias("major"),
+        F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("major")
     ).where("parts > 1")
-    rows = labelled.join(mixed.drop("parts"), "bucket").join(nodes.select("node", "sig"), "node")
+    met = stage(labelled.join(mixed.drop("parts"), "bucket").select("major", "node", "component").distinct())
+    sizes = met.groupBy("major").agg(F.count_if(F.col("component") != F.col("major")).alias("few"), F.count(F.lit(1)).alias("all"))
+    rows = met.join(sizes, "major").join(nodes.select("node", "sig"), "node")
     outside = rows.where("component != major").withColumn("few_side", F.lit(True))
-    rows = rows.withColumn("few_side", F.lit(False)).union(outside).drop("major")
+    rows = rows.withColumn("few_side", F.lit(False)).union(outside)
     least = least_agreement(threshold)
 
     def compare(block: pa.Table) -> pa.RecordBatch:
@@ -227,7 +230,7 @@ def _hopeful(shared: DataFrame, nodes: DataFrame, labels: DataFrame, threshold:
             [pa.array(hub, pa.int64()), pa.array(who, pa.int64()), pa.array(few, pa.bool_())], ["hub", "node", "few_side"]
         )
 
-    return _in_blocks(_blocks(rows), ["bucket"], compare, "hub long, node long, few_side boolean").distinct()
+    return _in_blocks(_blocks(rows), ["major"], compare, "hub long, node long, few_side boolean").distinct()
 
 
 def _meeting(docs: DataFrame, hopeful: DataFrame, shingle: int, percent: int) -> DataFrame:
