@@ -429,11 +429,11 @@ w AS (SELECT *, lag(tag) OVER x AS prev_tag, lag(text) OVER x AS pt, lead(tag) O
 SELECT page_id, pre, CASE WHEN parent >= 0 THEN prev_tag END AS prev_tag, CASE WHEN prev_tag IS NOT NULL AND parent >= 0 THEN substring(pt, 1, 50) END AS prev_text,
   CASE WHEN parent >= 0 THEN next_tag END AS next_tag, CASE WHEN next_tag IS NOT NULL AND parent >= 0 THEN coalesce(nc, '') END AS next_class FROM w WHERE pre IS NOT NULL"""
 S["element_contexts"] = """
-SELECT o_orderkey AS page_id, 8 AS pre, concat('Target: <h1 data-testid="order-title" [STABLE]>', chr(10), 'Target text: "Order ', o_orderkey, '"', chr(10),
- 'Ancestors (nearest first):', chr(10), '  - <div class="main[STABLE]" id="main" [UNKNOWN]>', chr(10), '  - <body>', chr(10), '  - <html>', chr(10),
- 'Siblings (same parent):', chr(10), '  - next: <span class="price[STABLE]">', chr(10), '  - next: <span class="status[STABLE] st-', o_orderstatus, '[STABLE]" hidden="" [UNKNOWN]>', chr(10),
- CASE WHEN o_orderpriority = '1-URGENT' THEN '  - next: <b class="flag[STABLE]" style="display:none" [UNKNOWN]>' ELSE '  - next: <div class="body[STABLE]">' END, chr(10),
- 'Descendants (depth<=2):', chr(10), '  - None') AS context FROM orders"""
+SELECT o_orderkey AS page_id, 8 AS pre, concat('element <h1 data-testid="order-title" (stable)>', chr(10), 'words "Order ', o_orderkey, '"', chr(10),
+ 'inside, from the nearest', chr(10), '  * <div class="main(stable)" id="main" (unknown)>', chr(10), '  * <body>', chr(10), '  * <html>', chr(10),
+ 'beside, three places at most', chr(10), '  > <span class="price(stable)">', chr(10), '  > <span class="status(stable) st-', o_orderstatus, '(stable)" hidden="" (unknown)>', chr(10),
+ CASE WHEN o_orderpriority = '1-URGENT' THEN '  > <b class="flag(stable)" style="display:none" (unknown)>' ELSE '  > <div class="body(stable)">' END, chr(10),
+ 'holds, two levels down', chr(10), '  nothing') AS context FROM orders"""
 
 # ---- selectors -----------------------------------------------------------
 
@@ -513,10 +513,14 @@ S["export_heads"] = """
 SELECT 'order' AS template_id, 'https://shop.example.com/' AS source_url, 'detail' AS page_type, count(*) AS total_records, 6 AS n_fields FROM orders
 UNION ALL SELECT 'list', 'https://shop.example.com/', 'list', count(*), 4 FROM orders"""
 S["export_documents"] = f"""
-SELECT CAST(n + {LIST_BASE} AS VARCHAR) AS template_id, concat('{{"source_url":"https://shop.example.com/","page_type":"list","total_records":', count(*),
-  ',"fields_definition":[{{"name":"name","xpath":".//a","description":"","extract":"text","confidence":0.9}},{{"name":"link","xpath":"a/@href","description":"","extract":"attribute","confidence":0.8}}],"pages":[',
-  string_agg(concat('{{"url":"', url, '","data":{{"name":"Order ', o_orderkey, '","link":"/order/', o_orderkey, '"}}}}'), ',' ORDER BY o_orderkey), ']}}') AS document
-FROM (SELECT *, o_orderkey // 20 AS n FROM orders) JOIN (SELECT page_id, url FROM ({LIST_PAGES_SQL})) p ON p.page_id = n + {LIST_BASE} GROUP BY n"""
+WITH cards AS (SELECT o_orderkey, n, page_id, url, row_number() OVER (PARTITION BY n ORDER BY o_orderkey) - 1 AS item
+  FROM (SELECT *, o_orderkey // 20 AS n FROM orders) JOIN (SELECT page_id, url FROM ({LIST_PAGES_SQL})) p ON p.page_id = n + {LIST_BASE})
+SELECT CAST(page_id AS VARCHAR) AS template_id, 1 AS section, page_id, CAST(item AS INTEGER) AS item,
+  concat(CASE WHEN item > 0 THEN ',' END, '{{"url":"', url, '","data":{{"name":"Order ', o_orderkey, '","link":"/order/', o_orderkey, '"}}}}') AS text FROM cards
+UNION ALL SELECT CAST(page_id AS VARCHAR), 2, NULL, NULL, ']}}' FROM cards WHERE item = 0
+UNION ALL SELECT CAST(page_id AS VARCHAR), 0, NULL, NULL, concat('{{"source_url":"https://shop.example.com/","page_type":"list","total_records":', count(*),
+  ',"fields_definition":[{{"name":"name","xpath":".//a","description":"","extract":"text","confidence":0.9}},{{"name":"link","xpath":"a/@href","description":"","extract":"attribute","confidence":0.8}}],"pages":[')
+FROM cards GROUP BY page_id"""
 
 # ---- links and patterns --------------------------------------------------
 

@@ -72,7 +72,7 @@ def url_normalize(spark, d):
 def url_resolve(spark, d):
     return tokens.anchors(read(spark, d, "pages")).select(
         "page_id", big("ord"), u.resolve_url(F.col("url"), F.col("href")).alias("absolute"),
-        u.resolve_url(F.col("url"), F.concat(F.lit("../x/./"), F.substring("href", 2, 99))).alias("dotted"),
+        u.resolve_url(F.col("url"), F.concat(F.lit("../x/./"), F.regexp_replace("href", "^/", ""))).alias("dotted"),
     )
 
 
@@ -906,7 +906,10 @@ def fields_healed(spark, d):
 def records_after_repair(spark, d):
     """Pages from order 100 on are extracted again once the price selector is repaired."""
     dm = templated(shop_orders(spark, d)).withColumn("seq", F.col("page_id"))
-    r = table(spark, "template_id string, field string, new_xpath string, new_fallback string, new_confidence double", [("order", "price", "//h1", None, 0.7)])
+    r = table(
+        spark, "template_id string, field string, new_xpath string, new_fallback string, new_confidence double, new_source string",
+        [("order", "price", "//h1", None, 0.7, "code")],
+    )
     since = table(spark, "template_id string, from_seq long", [("order", 100)])
     out = heal.reextract_changed(dm, shop_selectors(spark), shop_templates(spark), r, since)
     return out.select("page_id", F.try_element_at("data", F.lit("price")).alias("price"))

@@ -3,7 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from webcorpus.operators import graph, health, paginate, responses, shred
+from webcorpus.operators import graph, heal, health, paginate, responses, shred
 from webcorpus.sources import tables
 from webcorpus.streaming import monitor
 
@@ -62,18 +62,18 @@ def follow(spark, pages, **cfg):
 
 
 def test_pagination(spark):
-    rows = [(0, "https://example.com/list?page=1", "<a class='next' href='?page=2'>n</a>"), (1, "https://example.com/list?page=2", "<p>end</p>")]
+    site = "https://shop.example.org/shoes?page="
+    rows = [(i, f"{site}{i + 1}", f"<a class='next' href='?page={i + 2}'>more</a><p>{i}</p>") for i in range(4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    chain, trace, stop = follow(spark, df, max_rounds=2, max_stalled=2, max_target=3)
-    assert chain.count() == 2 and stop.first().stop_reason == "MAX_ROUNDS"
-    t = trace.orderBy("round", "srank").collect()
-    assert [(r.round, r.progress) for r in t] == [(1, True), (2, False), (2, False), (2, False), (2, False)]
-    assert t[-1].reason == "missing page" and t[-1].target.endswith("page=3")
-    one = spark.createDataFrame([(0, "https://example.com/", "<p>x</p>")], df.schema)
-    kinds = dict(strategies=("link", "click"))
-    assert follow(spark, one, max_rounds=3, max_stalled=1, **kinds)[2].first().stop_reason == "NO_PROGRESS_LIMIT"
-    assert follow(spark, one, max_rounds=0, max_target=1)[2].first().stop_reason == "TARGET_REACHED"
-    assert follow(spark, one, max_rounds=1, **kinds)[2].first().stop_reason == "NO_STRATEGY_ADVANCED"
+    chain, trace, stop = follow(spark, df, max_rounds=3, max_stalled=2, max_target=9)
+    assert chain.count() == 4 and stop.first().stop_reason == "MAX_ROUNDS"
+    assert [r.progress for r in trace.filter("progress").collect()] == [True] * 3
+    chain, trace, stop = follow(spark, df, max_rounds=8, max_stalled=2, max_target=9)
+    assert chain.count() == 4 and trace.filter("NOT progress AND reason = 'missing page'").count() > 0
+    alone = spark.createDataFrame([(0, "https://shop.example.org/hats", "<h1>hats</h1>")], df.schema)
+    kinds = dict(strategies=("click", "load_more"))
+    assert follow(spark, alone, max_rounds=5, max_stalled=2, **kinds)[2].first().stop_reason == "NO_PROGRESS_LIMIT"
+    assert follow(spark, alone, max_rounds=4, max_target=1)[2].first().stop_reason == "TARGET_REACHED"
 
 
 def test_frontier(spark):
@@ -95,21 +95,41 @@ def test_sitemaps(spark):
     assert got == [(0, urls[0]), (0, urls[1]), (1, urls[0]), (1, urls[1])]
 
 
+def test_sitemaps_are_read_as_xml(spark):
+    rows = [
+        (0, "<urlset><!-- <x> --><url><loc><![CDATA[https://x.com/?a&b]]></loc></url><url><loc>/c&#38;d</loc></url></urlset>"),
+        (1, "<urlset><url><loc>https://x.com/?a&b</loc></url></urlset>"), (2, None),
+        (3, '<s:urlset xmlns:s="u"><s:url><s:loc>/e</s:loc></s:url></s:urlset>'),
+    ]
+    df = spark.createDataFrame(rows, "site int, xml string").withColumn("base_url", F.lit("https://h.com"))
+    got = [(r.site, r.url) for r in graph.parse_sitemaps(df).orderBy("site", "ord").collect()]
+    assert [s for s, _ in got] == [0, 0, 3] and got[1][1] == "https://h.com/c&d"
+
+
+def test_repair_takes_the_fallback_of_its_source(spark):
+    sel = spark.createDataFrame([("t", f, "//a", "//old", 0.9) for f in "xy"], "template_id string, field string, xpath string, fallback_xpath string, confidence double")
+    rep = spark.createDataFrame(
+        [("t", "x", "//n", None, 0.7, "induced"), ("t", "y", "//n", None, 0.7, "code")],
+        "template_id string, field string, new_xpath string, new_fallback string, new_confidence double, new_source string",
+    )
+    assert {r.field: r.fallback_xpath for r in heal.apply_repairs(sel, rep).collect()} == {"x": None, "y": "//old"}
+
+
 def test_answers(spark):
     rows = [
-        (0, "page_type", 0, '```json\n{"page_type": "list", "confidence": 0.92}\n```'),
+        (0, "page_type", 0, '```\n{"confidence": 0.81, "page_type": "list"}\n```'),
         (1, "page_type", 0, '{"page_type": "list", "confidence": 0.5}'), (1, "page_type", 1, '{"page_type": "detail", "confidence": 0.6}'),
         (2, "page_type", 0, '{"page_type": "list", "confidence": 0.5}'), (2, "page_type", 1, '{"page_type": "detail", "confidence": 0.9}'),
         (3, "page_type", 0, "not json"),
-        (0, "list_fields", 0, '{"primary_detail_link_xpath": "//a[@data-aid=\'e1\']/@href", "detail_link_xpath_candidates": [{"xpath": "//main//a/@href"}, {"xpath": ""}]}'),
+        (0, "list_fields", 0, '{"primary_detail_link_xpath": "//td[@data-aid=\'e7\']/a/@href", "detail_link_xpath_candidates": [{"xpath": " "}, {"xpath": "//table//td/a/@href"}]}'),
     ]
     df = spark.createDataFrame(rows, "page_id long, prompt_kind string, attempt int, content string")
     picked = {r.page_id: (r.page_type, r.use_legacy) for r in responses.pick_detection(responses.parse_page_type(df)).collect()}
     assert picked == {0: ("list", False), 1: ("detail", True), 2: ("detail", False)}
     els = spark.createDataFrame([(0, "e0")], "page_id long, aid string")
     head, cand = responses.parse_list_response(df, els)
-    assert [(r.xpath, r.confidence) for r in cand.collect()] == [("//main//a/@href", 0.5)]
-    assert head.first().primary == "//main//a/@href"
+    assert [(r.xpath, r.confidence) for r in cand.collect()] == [("//table//td/a/@href", 0.5)]
+    assert head.first().primary == "//table//td/a/@href"
 
 
 def test_read_and_write(spark):

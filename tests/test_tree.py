@@ -108,15 +108,42 @@ def test_list_extraction(spark, pages):
     assert [(r.page_id, r.item, r.data["n"]) for r in rows] == [(0, 0, "1"), (0, 1, "2"), (0, 2, None)]
 
 
-def test_link_scores_prefer_main(spark, pages):
-    html = ("<html><body><nav><a href='/about'>a</a><a href='/contact'>c</a></nav><main>"
-            + "".join(f"<a href='/article/{i}'>x</a>" for i in (100, 101, 102)) + "</main></body></html>")
-    dom = shred.shred_html(pages(html, url="https://news.example.com/world/"))
-    cand = spark.createDataFrame([(0, "//nav//a/@href"), (1, "//main//a/@href")], "cand int, xpath string")
+def test_links_with_more_article_like_paths_score_higher(spark, pages):
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("imprint", "contact", "login"))
+    cards = "".join(f"<section><a href='/recipes/soup-{i}'>soup {i}</a></section>" for i in range(40, 46))
+    dom = shred.shred_html(pages(f"<html><body><ul>{menu}</ul>{cards}</body></html>", url="https://kitchen.example.org/all/"))
+    cand = spark.createDataFrame([(7, "//ul//a/@href"), (8, "//section/a/@href")], "cand int, xpath string")
     found = links.extract_links(dom, cand).withColumn("ord", F.struct("page_id", "pre")).select("cand", "ord", "target")
-    scores = links.score_link_candidates(found, cand, 10)
-    assert {r.cand: round(r.score, 3) for r in scores.collect()} == {0: 0.405, 1: 0.895}
-    assert links.select_links(found, scores, 10).count() == 3
+    scores = links.score_link_candidates(found, cand, 4)
+    score = {r.cand: r.score for r in scores.collect()}
+    assert 0 <= score[7] < score[8] <= 1
+    chosen = [r.url for r in links.select_links(found, scores, 4).collect()]
+    assert len(chosen) == 4 and all("/recipes/" in t for t in chosen)
+
+
+def test_relative_selectors_start_at_the_implied_root(spark, pages):
+    dom = shred.shred_html(pages("<p>a</p><h1>A</h1>", "<head></head><body><h1>B</h1></body>", "<html><body><h1>C</h1></body></html>"))
+    asked = spark.createDataFrame([(".//h1",), ("//h1",), (".//html",)], "xpath string")
+    got = {(r.page_id, r.xpath, r.value) for r in selectors.match_selectors(dom, asked).collect()}
+    assert got == {(i, x, v) for i, v in enumerate("ABC") for x in (".//h1", "//h1")}
+
+
+def test_more_selectors_than_a_block(spark, pages, monkeypatch):
+    monkeypatch.setattr(selectors, "UNKEYED_BLOCK", 3)
+    dom = shred.shred_html(pages("<html><body><p>x</p><p>y</p></body></html>"))
+    asked = spark.createDataFrame([(f"//p[{i}]",) for i in range(1, 20)], "xpath string")
+    assert sorted(r.xpath for r in selectors.match_selectors(dom, asked).collect()) == ["//p[1]", "//p[2]"]
+    assert sum(r.n for r in selectors.test_unique(dom, asked).collect()) == 2
+
+
+def test_list_fields_may_mix_relative_and_absolute_options(spark, pages):
+    dom = shred.shred_html(pages("<html><body><div><b>G</b></div><li><i>1</i></li><li><u>k</u><i>2</i></li></body></html>"))
+    rows = [("t", 0, "a", ".//u", "//div/b"), ("t", 1, "b", "//zz", ".//i")]
+    sel = spark.createDataFrame(rows, "template_id string, ord int, field string, xpath string, fallback_xpath string")
+    sel = sel.selectExpr("*", "'' AS description", "'text' AS extract", "CAST(NULL AS STRING) AS attribute_name", "0.9D AS confidence")
+    templates = spark.createDataFrame([("t", "list", "//li")], "template_id string, page_type string, container_xpath string")
+    out = extract.extract_list(dom.selectExpr("*", "'t' AS template_id"), extract.compile_templates(sel, templates))
+    assert [(r.data["a"], r.data["b"]) for r in out.orderBy("item").collect()] == [("G", "1"), ("k", "2")]
 
 
 def test_selector_plan_has_no_shuffle(spark, pages):

@@ -57,3 +57,18 @@ def test_similarity_and_entities(spark):
     text = spark.createDataFrame([("a &amp;lt; &#8364;&nbsp;b",)], "t string")
     assert text.select(tx.decode_entities(F.col("t"))).first()[0] == "a &lt; € b"
     assert text.select(tx.normalize_text(F.lit(" a  \n b "))).first()[0] == "a b"
+
+
+def test_references_of_any_form(spark):
+    cases = {
+        "&#9999999;|&#55296;|&#0;": "\ufffd|\ufffd|\ufffd", "&#0000000065;&#x41;&#X1F600;": "AA\U0001f600", "&rsquo;&Auml;&nope;": "\u2019\u00c4&nope;",
+        "&amp;lt; &#38;lt; &": "&lt; &lt; &", "a": "a",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in df.select("t", tx.decode_entities(F.col("t")).alias("d")).collect()} == cases
+
+
+def test_numbers_of_any_length(spark):
+    cases = {"9": "10", "007": "8", "9" * 45: "1" + "0" * 45, "12" * 30: "12" * 29 + "13", "0": "1", "1099": "1100"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in df.select("t", u.plus_one(F.col("t")).alias("d")).collect()} == cases

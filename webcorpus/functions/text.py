@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,13 +28,10 @@ DECIMAL_RE = r"^\d+\.\d{2}"
 EMAIL_RE = r"^[\w.+-]+@[\w-]+\.[\w.]+"
 URL_START_RE = r"^(?:https?://|/)"
 
-# Named entities handled by the flat (regex) path; the shredder knows all of HTML5.
-FLAT_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&reg;", "®"),
-    ("&euro;", "€"), ("&amp;", "&"),
-)
+# Named references of the flat (regex) path; the shredder knows all of HTML5.
+#: Named references of HTML 4, from the standard library's table, and the apostrophe of XML.
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -49,17 +48,28 @@ def strip_text(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
+def _decode_one(ref: Column) -> Column:
+    """The text of one reference: U+FFFD for numbers that are no character, unknown names as they are."""
+    hexed = ref.rlike("^&#[xX]")
+    number = F.regexp_replace(ref, "^&#[xX]?0*|;$", "")
+    code = F.when(F.length(number) <= 7, F.when(hexed, F.conv(number, 16, 10)).otherwise(number)).try_cast("int")
+    fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    # a number that is no character never reaches the decoder
+    point = F.when(fine, code).otherwise(F.lit(0xFFFD))
+    as_char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    named = F.coalesce(F.try_element_at(names, F.regexp_replace(ref, "[&;]", "")), ref)
+    return F.when(ref.startswith("&#"), as_char).otherwise(named)
+
+
 def _decode_all(col: Column) -> Column:
-    codes = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#(\d{1,7});"), 1))
-    as_char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
-    out = F.aggregate(codes, col, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), as_char(n)))
-    for name, char in FLAT_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    between = F.split(col, REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(col, F.lit(REFERENCE), 0), _decode_one)
+    return F.array_join(F.zip_with(between, found, lambda text, char: F.concat(text, F.coalesce(char, F.lit("")))), "")
 
 
 def decode_entities(col: Column) -> Column:
-    """Decode decimal references and the common named entities, ``&amp;`` last."""
+    """Decode decimal, hexadecimal and named references of any length in one pass."""
     return let(col, lambda c: F.when(c.contains("&"), _decode_all(c)).otherwise(c))
 
 

@@ -199,6 +199,16 @@ def _form_encode(col: Column) -> Column:
     return F.replace(F.replace(F.url_encode(col), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def plus_one(digits: Column) -> Column:
+    """A decimal number of any length plus one, without leading zeros."""
+    number = F.regexp_replace(digits, "^0+(?=.)", "")
+    head = F.regexp_replace(number, "9*$", "")
+    zeros = F.repeat(F.lit("0"), F.length(number) - F.length(head))
+    last = (F.right(head, F.lit(1)).cast("int") + 1).cast("string")
+    raised = F.when(head == "", F.lit("1")).otherwise(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), last))
+    return F.concat(raised, zeros)
+
+
 def increment_page_param(url: Column) -> Column:
     """Array of raw next-page URLs, one per numeric paging key in fixed key order."""
     pair = lambda kv: F.struct(
@@ -215,10 +225,10 @@ def increment_page_param(url: Column) -> Column:
 
     def bumped(settings: Column) -> Column:
         def rebuilt(key: Column) -> Column:
-            new = lambda p: F.when(p["k"] == key, (p["v"].cast("decimal(38,0)") + 1).cast("string")).otherwise(_form_encode(p["v"]))
+            new = lambda p: F.when(p["k"] == key, plus_one(p["v"])).otherwise(_form_encode(p["v"]))
             return F.array_join(F.transform(settings, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), new(p))), "&")
 
-        numeric = F.transform(F.filter(settings, lambda p: p["v"].rlike(r"^[0-9]{1,37}$")), lambda p: p["k"])
+        numeric = F.transform(F.filter(settings, lambda p: p["v"].rlike(r"^[0-9]+$")), lambda p: p["k"])
         usable = F.filter(F.array(*[F.lit(k) for k in PAGE_KEYS]), lambda k: F.array_contains(numeric, k))
         head = F.regexp_extract(url, r"^[^?#]*", 0)
         return F.transform(usable, lambda k: F.concat(head, F.lit("?"), rebuilt(k)))

@@ -10,26 +10,20 @@ from webcorpus.functions.urls import get_domain, normalize_url, url_path
 from webcorpus.operators.links import detect_url_pattern, filter_by_pattern
 from webcorpus.session import cut_lineage
 
-URL_BLOCK = r"(?is)<url(?:\s[^>]*)?>(.*?)</url>"
-LOC = r"(?is)<loc(?:\s[^>]*)?>([^<]*)</loc>"
-
-
 def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
-    """(site, ord, url) from sitemaps(site, base_url, xml).
+    """(site, ord, url) from sitemaps(site, base_url, xml), read by Spark's XML reader.
 
-    Index files and malformed documents give no rows. Well-formedness is judged
-    by the root element and by equal counts of opening and closing tags.
+    Index files and documents that are not well-formed give no rows; CDATA,
+    references, comments and namespaces mean what XML says.
     """
-    xml = F.col("xml")
-    tags = lambda p: F.size(F.regexp_extract_all(xml, F.lit(p), 0))
-    balanced = tags(r"<[A-Za-z][^>]*[^/>]>|<[A-Za-z]>") == tags(r"</[A-Za-z][^>]*>")
-    closed = xml.rlike(r"(?s)</(?:urlset|sitemapindex)>\s*$") & balanced
-    loc = lambda block: F.regexp_extract(block, LOC, 1)
-    blocks = F.regexp_extract_all(xml, F.lit(URL_BLOCK), 1)
+    schema = "url array<struct<loc: string>>, bad string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreNamespace": "true"}
     return (
-        sitemaps.filter(closed)
-        .select("site", "base_url", F.posexplode(blocks).alias("ord", "block"))
-        .withColumn("url", normalize_url(F.replace(loc(F.col("block")), F.lit("&amp;"), F.lit("&")), F.col("base_url")))
+        sitemaps.filter("xml IS NOT NULL")
+        .withColumn("_x", F.from_xml("xml", schema, options))
+        .filter("_x.bad IS NULL")
+        .select("site", "base_url", F.posexplode("_x.url").alias("ord", "entry"))
+        .withColumn("url", normalize_url(F.trim("entry.loc"), F.col("base_url")))
         .filter(F.col("url").isNotNull())
         .select("site", "ord", "url")
     )

@@ -13,18 +13,20 @@ Anything else counts as "does not match" and is reported by ``parse_selectors``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions.text import let, normalize_text
 from webcorpus.operators.shred import subtree_text
-from webcorpus.session import cut_lineage, fits_broadcast, join_small
+from webcorpus.session import cut_lineage, join_small
 
 _QUOTED = r"""'[^']*'|"[^"]*\""""
 SUFFIX_RE = r"/(?:text\(\)|@[\w:\-]+)$"
 STEP_RE = rf"""(?://?|^)(?:\*|[A-Za-z][\w\-]*)(?:\[(?:[^\]'"]|{_QUOTED})*\])*"""
 PRED_RE = rf"""\[((?:[^\]'"]|{_QUOTED})*)\]"""
-_AHEAD = rf"""(?=(?:[^'"]|{_QUOTED})*$)"""
+AHEAD = rf"""(?=(?:[^'"]|{_QUOTED})*$)"""
 _ATOMS = {
     "attr_eq": r"""^@([\w:\-]+)\s*=\s*(?:'([^']*)'|"([^"]*)")$""",
     "attr": r"""^@([\w:\-]+)()()$""",
@@ -34,7 +36,8 @@ _ATOMS = {
 }
 
 INTS = "array<int>"
-MAX_UNKEYED = 10_000
+#: Selectors that one pass applies to every page; more selectors take more passes.
+UNKEYED_BLOCK = 1_000
 
 
 def split_suffix(xpath: Column) -> tuple[Column, Column]:
@@ -56,8 +59,8 @@ def _atom(raw: Column) -> Column:
 
 def _predicate(raw: Column) -> Column:
     """A predicate as an OR of ANDs of atoms."""
-    either = F.split(F.trim(raw), r"\s+or\s+" + _AHEAD)
-    return F.transform(either, lambda c: F.transform(F.split(F.trim(c), r"\s+and\s+" + _AHEAD), lambda a: _atom(F.trim(a))))
+    either = F.split(F.trim(raw), r"\s+or\s+" + AHEAD)
+    return F.transform(either, lambda c: F.transform(F.split(F.trim(c), r"\s+and\s+" + AHEAD), lambda a: _atom(F.trim(a))))
 
 
 def _step(raw: Column) -> Column:
@@ -131,22 +134,36 @@ def _below(nodes: Column, acc: Column) -> Column:
     )
 
 
+def _children(nodes: Column, acc: Column) -> Column:
+    """Numbers of the elements whose parent is in ``acc``; -1 stands for the document."""
+    inside = lambda c: F.when(c < 0, nodes).otherwise(F.slice(nodes, c + 2, F.get(nodes, c)["last"] - c))
+    own = lambda c: F.transform(F.filter(inside(c), lambda n: n["parent"] == c), lambda n: n["pre"])
+    return F.flatten(F.transform(acc, own))
+
+
+def root_context(nodes: Column) -> Column:
+    """Where a relative path without container starts: the ``html`` element, else the document.
+
+    A page without ``html`` tags has an implied root, whose children are the page's own roots.
+    """
+    return F.when(F.get(nodes, 0)["tag"] == "html", F.lit(0)).otherwise(F.lit(-1))
+
+
 def match(path: Column, nodes: Column, texts: Column, context: Column | None = None, scope: Column | None = None) -> Column:
     """Document-ordered numbers of the elements that ``path`` selects; never null.
 
-    ``context`` is the element a relative path starts from (default: the root
-    element); absolute paths start from the document. ``scope`` may narrow the
+    ``context`` is the element a relative path starts from (default:
+    ``root_context``); absolute paths start from the document. ``scope`` may narrow the
     elements that are looked at, e.g. to the subtree of the context.
     """
     scope = nodes if scope is None else scope
-    context = F.lit(0) if context is None else context
+    context = root_context(nodes) if context is None else context
 
     def advance(acc: Column, s: Column) -> Column:
         def reached(found: Column) -> Column:
             numbers = F.transform(found, lambda n: n["pre"])
-            direct = F.transform(F.filter(found, lambda n: F.array_contains(acc, n["parent"])), lambda n: n["pre"])
             return (
-                F.when(~s["deep"], direct)
+                F.when(~s["deep"], F.array_intersect(numbers, _children(nodes, acc)))
                 .when(F.get(acc, 0) == -1, numbers)
                 .otherwise(F.array_intersect(numbers, _below(nodes, acc)))
             )
@@ -176,25 +193,42 @@ def values_of(matched: Column, suffix: Column, text: Column, nodes: Column, text
         )
     )
     attrs = F.array_compact(
-        F.transform(matched, lambda p: F.try_element_at(node(p)["attrs"], F.substring(suffix, 2, 100)))
+        F.transform(matched, lambda p: F.try_element_at(node(p)["attrs"], F.regexp_replace(suffix, "^@", "")))
     )
     return F.when(suffix == "", full).when(suffix == "text()", own).otherwise(attrs)
 
 
-def with_selectors(pages: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
-    """Pair pages with their selectors: all of them, or those of the page's template.
+def each_selector(
+    pages: DataFrame, selectors: DataFrame, keep: list[str], template: str | None, evaluate: Callable[[Callable[[str], Column]], Column]
+) -> DataFrame:
+    """Rows (keep..., selector columns, evaluate's fields): an array of structs for each page and selector, exploded.
 
-    Without a template every selector applies to every page. The selectors then
-    travel as one array, a scalar subquery that runs once, so their number is checked.
+    With ``template`` both tables share that key and each page meets the selectors of
+    its template. Without it every selector applies to every page: the selectors
+    travel as an array that a scalar subquery reads once, a block of
+    ``UNKEYED_BLOCK`` at a time, and are evaluated inside the page row, so that no
+    page is copied. ``evaluate`` gets a function from names to columns.
     """
+    names = [c for c in selectors.columns if c != template]
     if template is not None:
-        return join_small(pages, selectors, [template], "page_id")
+        joined = join_small(pages, selectors, [template], "page_id")
+        found = joined.select(*keep, *names, evaluate(F.col).alias("_found"))
+        return found.select(*keep, *names, F.inline("_found"))
     selectors = cut_lineage(selectors)
-    if not fits_broadcast(selectors, MAX_UNKEYED):
-        raise ValueError(f"more than {MAX_UNKEYED} selectors need a template key")
-    names = selectors.columns
-    packed = selectors.agg(F.collect_list(F.struct(*names)).alias("s")).scalar()
-    return pages.withColumn("_selectors", packed).select("*", F.inline("_selectors")).drop("_selectors")
+    blocks = selectors.count() // UNKEYED_BLOCK + 1
+
+    def one(s: Column) -> Column:
+        get = lambda name: s[name] if name in names else F.col(name)
+        return F.transform(evaluate(get), lambda x: F.struct(s.alias("s"), x.alias("x")))
+
+    out = None
+    for i in range(blocks):
+        block = selectors.filter(F.pmod(F.xxhash64(F.to_json(F.struct(*names))), F.lit(blocks)) == i)
+        packed = block.agg(F.collect_list(F.struct(*names)).alias("s")).scalar()
+        found = pages.withColumn("_selectors", packed).select(*keep, F.explode(F.flatten(F.transform("_selectors", one))).alias("_f"))
+        found = found.select(*keep, *[F.col(f"_f.s.{n}").alias(n) for n in names], "_f.x.*")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
@@ -203,23 +237,25 @@ def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None =
     ``selectors`` needs ``xpath``; with ``template`` both tables share that key.
     """
     names = [c for c in selectors.columns if c != template]
-    joined = with_selectors(dom, parse_selectors(selectors), template)
     nodes, texts = F.col("nodes"), F.col("texts")
-    matched = joined.withColumn("m", match(F.col("path"), nodes, texts))
+
+    def evaluate(get: Callable[[str], Column]) -> Column:
+        one = lambda p: F.struct(
+            p.alias("pre"),
+            F.get(nodes, p)["tag"].alias("tag"),
+            F.get(values_of(F.array(p), get("suffix"), F.col("text"), nodes, texts), 0).alias("value"),
+        )
+        return F.transform(match(get("path"), nodes, texts), one)
+
     extra = [template] if template else []
-    one = lambda p: F.struct(
-        p.alias("pre"),
-        F.get(nodes, p)["tag"].alias("tag"),
-        F.get(values_of(F.array(p), F.col("suffix"), F.col("text"), nodes, texts), 0).alias("value"),
-    )
-    return matched.select("page_id", "url", *extra, *names, F.explode(F.transform("m", one)).alias("x")).select(
-        "page_id", "url", *extra, *names, "x.*"
-    )
+    found = each_selector(dom, parse_selectors(selectors), ["page_id", "url", *extra], template, evaluate)
+    return found.select("page_id", "url", *extra, *names, "pre", "tag", "value")
 
 
 def test_unique(dom: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
     """(page_id, selector columns..., n, is_unique): does a selector match exactly one element?"""
     names = selectors.columns
-    joined = with_selectors(dom, parse_selectors(selectors), template)
-    n = F.size(match(F.col("path"), F.col("nodes"), F.col("texts")))
-    return joined.select("page_id", *names, n.alias("n"), (n == 1).alias("is_unique"))
+    count = lambda get: F.array(F.struct(F.size(match(get("path"), F.col("nodes"), F.col("texts"))).alias("n")))
+    keep = ["page_id", template] if template else ["page_id"]
+    found = each_selector(dom, parse_selectors(selectors), keep, template, count)
+    return found.select("page_id", *names, "n", (F.col("n") == 1).alias("is_unique"))
