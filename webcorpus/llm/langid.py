@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webcorpus.llm.common import pick, stage, tuned
+from webcorpus.llm.common import pick, tuned
 
 #: Bytes of raw content for each language; whole texts are taken while they begin below this.
 DICTIONARY_BYTES = 131_072
@@ -43,16 +43,14 @@ def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DR
     ``drawn`` a language inside the scan, and only the thinned rows are ordered and cut.
     The driver receives ``size`` bytes and a text at most for each language.
     """
-    known = stage(
-        texts.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
-        .select("lang", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("h"), "text")
-        .groupBy("lang", "h").agg(F.first("text").alias("text"))
-    )
+    known = texts.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
+    drawn_by = F.shiftrightunsigned(F.xxhash64("text"), 11)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, drawn / n)))])
-    thin = known.where(F.col("h") < share[F.col("lang")] * F.lit(float(1 << 53)))
+    thin = known.where(drawn_by < share[F.col("lang")] * F.lit(float(1 << 53)))
+    thin = thin.groupBy("lang", drawn_by.alias("h")).agg(F.first("text").alias("text"))  # copies count once
     before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     taken = thin.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
     rows = taken.where(F.col("before") < size).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
