@@ -41,7 +41,8 @@ def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DR
 
     Rows are counted for each language, thinned by a hash of the text to about
     ``drawn`` a language inside the scan, and only the thinned rows are ordered and cut.
-    The driver receives ``size`` bytes and a text at most for each language.
+    The driver receives twice ``size`` bytes and a text at most for each language,
+    and leaves out texts that look mislabelled.
     """
     known = texts.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
@@ -53,14 +54,33 @@ def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DR
     thin = thin.groupBy("lang", drawn_by.alias("h")).agg(F.first("text").alias("text"))  # copies count once
     before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     taken = thin.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
-    rows = taken.where(F.col("before") < size).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
+    rows = taken.where(F.col("before") < 2 * size).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
+    return _content(_agreed([(r[0], letters(r[2])) for r in sorted(rows, key=lambda r: (r[1], r[0]))]), size)
+
+
+def _content(texts: list[tuple[str, bytes]], size: int) -> dict[str, bytes]:
+    """Texts one after the other by language, while they begin below ``size``."""
     out: dict[str, bytes] = {}
-    # the end of a dictionary is the cheapest to refer to, so the order of the hash decides
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
-        out[lang] = (out.get(lang, b"") + letters(text) + b"\n")[: 2 * size]
+    for lang, text in texts:
+        if len(out.get(lang, b"")) < size:
+            out[lang] = out.get(lang, b"") + text + b"\n"
     return out
 
 
+def _agreed(texts: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
+    """The texts without those whose language the dictionaries of the other half of the texts deny: mislabelled ones."""
+    halves = texts[::2], texts[1::2]
+    kept = []
+    for own, other in (halves, halves[::-1]):
+        content = _content(other, DICTIONARY_BYTES)
+        judge = Compressor(content)
+        for lang, text in own:
+            sizes = dict(zip(judge.languages, judge.sizes(text)))
+            if lang not in sizes or sizes[lang] <= min(sizes.values()):
+                kept.append((lang, text))
+    return kept
+
+
 class Compressor:
     """One prepared dictionary for each language."""
 
