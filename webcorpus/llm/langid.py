@@ -25,7 +25,7 @@ DRAWN_TEXTS = 800
 STRETCH_BYTES = 4_096
 #: Relative margin between the two smallest results below which a prediction is rejected.
 MIN_MARGIN = 0.005
-LEVEL = 3
+LEVEL = 6
 
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,7 +42,8 @@ def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DR
     Rows are counted for each language, thinned by a hash of the text to about
     ``drawn`` a language inside the scan, and only the thinned rows are ordered and cut.
     The driver receives twice ``size`` bytes and a text at most for each language,
-    and leaves out texts that look mislabelled.
+    and leaves out texts that look mislabelled. The most frequent language comes
+    first; that decides ties.
     """
     known = texts.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
@@ -55,7 +56,8 @@ def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DR
     before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     taken = thin.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
     rows = taken.where(F.col("before") < 2 * size).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
-    return _content(_agreed([(r[0], letters(r[2])) for r in sorted(rows, key=lambda r: (r[1], r[0]))]), size)
+    content = _content(_agreed([(r[0], letters(r[2])) for r in sorted(rows, key=lambda r: (r[1], r[0]))]), size)
+    return {lang: content[lang] for lang in sorted(content, key=lambda lang: (-counts[lang], lang))}
 
 
 def _content(texts: list[tuple[str, bytes]], size: int) -> dict[str, bytes]:
@@ -87,7 +89,7 @@ class Compressor:
     def __init__(self, content: dict[str, bytes]):
         import zstandard
 
-        self.languages = sorted(content)
+        self.languages = list(content)
         self.by = []
         for lang in self.languages:
             known = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -118,7 +120,7 @@ def identify(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     ``score`` is the relative margin between the two smallest sizes, from 0 to 1;
     ``rejected`` marks margins below ``MIN_MARGIN``. Null, empty and letterless
     texts give ``und``, score 0, rejected, and so does everything if no language
-    was learned. Ties go to the first language by name. Repeated rows and null
+    was learned. Ties go to the language that comes first in ``content``. Repeated rows and null
     doc_ids are kept; other columns are ignored.
     """
 
