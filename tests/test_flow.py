@@ -37,6 +37,16 @@ def test_health_across_blocks(spark, monkeypatch):
     assert windows[150] == (seen[41:51], [v for v in seen[:51] if v is not None][-5:])
 
 
+def test_blocks_follow_rows_not_seq(spark, monkeypatch):
+    monkeypatch.setattr(health, "BLOCK", 100)
+    h = spark.range(1000).selectExpr("'t' AS template_id", "'f' AS field", "id * 100000 AS seq", "IF(id % 3 = 0, NULL, 'v') AS value")
+    placed = health.with_position(h)
+    assert {r.seq: r.pos for r in placed.collect()} == {i * 100000: i + 1 for i in range(1000)}
+    plain = health.needs_healing(h.withColumn("seq", (F.col("seq") / 100000).cast("long")))
+    flags = lambda d, by: [(r.seq // by, r.flagged) for r in d.orderBy("seq").collect()]
+    assert flags(health.needs_healing(h), 100000) == flags(plain, 1)
+
+
 def test_cascade(spark):
     f = spark.createDataFrame([("a", 1, True), ("a", 1, False), ("b", 1, True), ("b", 1, True), ("b", 1, False)], "template_id string, seq long, flagged boolean")
     assert {r.template_id: r.cascade for r in health.cascade_failure(f).collect()} == {"a": False, "b": True}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+#: Bytes of a table, by Spark's own estimate or as JSON text, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
@@ -51,8 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when the table has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes; reads no more rows than that."""
+    wide = F.length(F.to_json(F.struct("*")))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return rows <= max_rows and size <= BROADCAST_BYTES
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate for the optimized plan, at most 2^62; starts no job."""
+    try:
+        return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 62)
+    except ValueError:  # a product over many joins with more digits than Python reads
+        return 1 << 62
 
 
 def join_small(
@@ -65,11 +77,14 @@ def join_small(
 ) -> DataFrame:
     """Join a large table with a table that is usually small.
 
-    The small side is written out first, so that counting and joining it do not
-    compute it twice. It is broadcast when a bounded count proves it small.
-    Otherwise it is copied once per salt and the large side is spread over the
-    salts by ``spread``, so one hot key is shared by ``SALTS`` tasks.
+    The small side is broadcast when Spark's estimate is small, without a job.
+    Otherwise it is written out, so that measuring and joining it do not compute it
+    twice, and broadcast when bounded rows and bytes prove it small. Beyond that
+    it is copied once per salt and the large side is spread over the salts by
+    ``spread``, so one hot key is shared by ``SALTS`` tasks.
     """
+    if estimated_bytes(small) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, how)
     small = cut_lineage(small)
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
