@@ -128,6 +128,15 @@ def test_relative_selectors_start_at_the_implied_root(spark, pages):
     assert got == {(i, x, v) for i, v in enumerate("ABC") for x in (".//h1", "//h1")}
 
 
+def test_links_start_at_the_base_element(spark, pages):
+    page = "<html><head><base target=x><base href='/shop/x/'></head><body><a href='a?q=1'>1</a><a href='/b' rel=next>2</a></body></html>"
+    df = pages(page, "<a href='c'>3</a>", url="https://ex.com/a/")
+    assert sorted(r.dst for r in links.link_edges(df).collect()) == ["https://ex.com/a/c", "https://ex.com/b", "https://ex.com/shop/x/a?q=1"]
+    asked = spark.createDataFrame([("//a",)], "xpath string")
+    got = links.extract_links(shred.shred_html(df), asked).orderBy("page_id", "pre").collect()
+    assert [r.target for r in got] == ["https://ex.com/shop/x/a?q=1", "https://ex.com/b", "https://ex.com/a/c"]
+
+
 def test_more_selectors_than_a_block(spark, pages, monkeypatch):
     monkeypatch.setattr(selectors, "UNKEYED_BLOCK", 3)
     dom = shred.shred_html(pages("<html><body><p>x</p><p>y</p></body></html>"))

@@ -155,6 +155,11 @@ def _tidy(href: Column) -> Column:
     return F.regexp_replace(trim_ws(href), r"[\t\r\n]", "")
 
 
+def base_url(url: Column, reference: Column) -> Column:
+    """What the links of a page start from: its base reference made absolute, else its URL."""
+    return F.coalesce(F.when(F.trim(reference) != "", resolve_url(url, F.trim(reference))), url)
+
+
 def normalize_url(href: Column, base: Column | None = None, keep_query: bool = True) -> Column:
     """Absolute, canonical http(s) URL for a raw reference, or null."""
     absolute = lambda c: c if base is None else resolve_url(base, c)

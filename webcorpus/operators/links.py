@@ -15,6 +15,7 @@ from webcorpus.functions.urls import (
     get_domain, is_basic_valid, link_url, normalize_url, parent_path, path_segments, url_part, AUTHORITY,
 )
 from webcorpus.operators.selectors import match_selectors
+from webcorpus.operators.shred import dom_base
 from webcorpus.operators.tokens import anchors
 from webcorpus.session import join_small
 
@@ -32,7 +33,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, ord, target): all anchors as canonical URLs, duplicates kept. Flat, no tree."""
     return (
         anchors(pages)
-        .withColumn("target", link_url(F.col("href"), F.col("url")))
+        .withColumn("target", link_url(F.col("href"), F.col("base")))
         .filter(F.col("target").isNotNull())
         .select("page_id", "url", "ord", "target")
     )
@@ -51,9 +52,9 @@ def extract_links(dom: DataFrame, selectors: DataFrame, template: str | None = N
     extra = [template] if template else []
     # only link attributes were made absolute; other values are plain references
     is_link = F.col("xpath").rlike(r"/@(?:href|src|action)$")
-    target = F.when(is_link, link_url(F.col("value"), F.col("url"))).otherwise(normalize_url(F.col("value"), F.col("url")))
+    target = F.when(is_link, link_url(F.col("value"), F.col("_base"))).otherwise(normalize_url(F.col("value"), F.col("_base")))
     return (
-        match_selectors(dom, asked, template)
+        match_selectors(dom.withColumn("_base", dom_base()), asked, template, ["_base"])
         .withColumn("target", target)
         .filter("value IS NOT NULL AND target IS NOT NULL")
         .select("page_id", "url", *extra, *keep, F.col("_given").alias("xpath"), "pre", "target")

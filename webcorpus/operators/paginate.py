@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from webcorpus.functions.text import let
 from webcorpus.functions.urls import increment_page_param, link_url, normalize_url
 from webcorpus.operators.selectors import match, parse_path, split_suffix, values_of
+from webcorpus.operators.shred import dom_base
 from webcorpus.session import cut_lineage
 
 # Fixed values.
@@ -49,10 +51,10 @@ def _targets(xpath: str | Column) -> Column:
     """Array of canonical targets of a selector; unusable ones are null."""
     column = F.lit(xpath) if isinstance(xpath, str) else xpath
     is_link = column.endswith("/@href")
-    return F.transform(
-        _raw_values(column),
-        lambda v: F.when(is_link, link_url(v, F.col("url"))).otherwise(normalize_url(v, F.col("url"))),
+    made = lambda base: F.transform(
+        _raw_values(column), lambda v: F.when(is_link, link_url(v, base)).otherwise(normalize_url(v, base))
     )
+    return let(dom_base(), made)
 
 
 def _rows(dom: DataFrame, strategy: str, targets: Column) -> DataFrame:

@@ -13,7 +13,7 @@ Anything else counts as "does not match" and is reported by ``parse_selectors``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,10 +231,13 @@ def each_selector(
     return out
 
 
-def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:
+def match_selectors(
+    dom: DataFrame, selectors: DataFrame, template: str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """(page_id, url, selector columns..., pre, tag, value) for every match.
 
-    ``selectors`` needs ``xpath``; with ``template`` both tables share that key.
+    ``selectors`` needs ``xpath``; with ``template`` both tables share that key;
+    ``keep`` names further columns of ``dom`` to carry.
     """
     names = [c for c in selectors.columns if c != template]
     nodes, texts = F.col("nodes"), F.col("texts")
@@ -248,8 +251,8 @@ def match_selectors(dom: DataFrame, selectors: DataFrame, template: str | None =
         return F.transform(match(get("path"), nodes, texts), one)
 
     extra = [template] if template else []
-    found = each_selector(dom, parse_selectors(selectors), ["page_id", "url", *extra], template, evaluate)
-    return found.select("page_id", "url", *extra, *names, "pre", "tag", "value")
+    found = each_selector(dom, parse_selectors(selectors), ["page_id", "url", *keep, *extra], template, evaluate)
+    return found.select("page_id", "url", *keep, *extra, *names, "pre", "tag", "value")
 
 
 def test_unique(dom: DataFrame, selectors: DataFrame, template: str | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webcorpus.functions.urls import base_url
+
 # workers get this module's code with the task and need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -276,3 +278,9 @@ def text_nodes(dom: DataFrame) -> DataFrame:
 def class_tokens(cls: Column) -> Column:
     """Distinct-preserving white-space split of a class attribute."""
     return F.filter(F.split(F.coalesce(cls, F.lit("")), r"(?U)\s+"), lambda t: t != "")
+
+
+def dom_base() -> Column:
+    """What relative references of a shredded page start from: its base element's reference, else its URL."""
+    bases = F.filter("nodes", lambda n: (n["tag"] == "base") & F.map_contains_key(n["attrs"], F.lit("href")))
+    return base_url(F.col("url"), F.try_element_at(F.get(bases, 0)["attrs"], F.lit("href")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions.text import decode_entities, let, strip_text
+from webcorpus.functions.urls import base_url
 
 TOKEN_RE = (
     r"(?is)<!--.*?-->|<[!?][^>]*>"
@@ -79,14 +80,25 @@ def attribute(tag_token: Column, name: str) -> Column:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, url, ord, href): every ``a[@href]`` in document order."""
-    is_anchor = lambda t: t.rlike(r"(?is)^<a[\s/].*\bhref\b")
-    found = F.filter(tokens_of(F.col("html")), is_anchor)
+    """(page_id, url, base, ord, href): every ``a[@href]`` in document order.
+
+    ``base`` is what relative references start from: the page's first ``base``
+    element with a reference, else its URL.
+    """
+    with_href = lambda name: lambda t: t.rlike(rf"(?is)^<{name}[\s/].*\bhref\b")
+    parts = let(
+        tokens_of(F.col("html")),
+        lambda tokens: F.struct(
+            F.filter(tokens, with_href("a")).alias("anchors"), F.get(F.filter(tokens, with_href("base")), 0).alias("base")
+        ),
+    )
     return (
-        pages.select("page_id", "url", F.posexplode(found).alias("ord", "token"))
+        pages.select("page_id", "url", parts.alias("_p"))
+        .withColumn("base", base_url(F.col("url"), attribute(F.col("_p.base"), "href")))
+        .select("page_id", "url", "base", F.posexplode("_p.anchors").alias("ord", "token"))
         .withColumn("href", attribute(F.col("token"), "href"))
         .filter(F.col("href").isNotNull())
-        .select("page_id", "url", "ord", "href")
+        .select("page_id", "url", "base", "ord", "href")
     )
 
 
