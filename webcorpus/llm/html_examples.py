@@ -39,4 +39,7 @@ PAGES = (
     <p data-main><a href="/all">The whole report of the council can be read here</a></p></div><div class="notice">{_SHORT}</div></body></html>""",
     f"""<html><body><article><p data-main>{_SHORT}</p><p data-main><a href="/only">A link alone</a></p><form><p>{_MID}</p><label>Name</label></form>
     <nav><a href="/next">Next page</a></nav><p data-main>{_MID}</p></article><div id="sidebar"><p>{_SHORT}</p></div></body></html>""",
+    f"""<html><body><div><p>{_LONG}</p><p>{_SHORT}</p></div><article data-main><h1>Dry again</h1><p>{_MID}</p><p>{_LONG}</p></article>
+    <div><p>{_MID}</p></div><p>{_SHORT}</p></body></html>""",
+    f"""<html><body><p>{_MID}</p><div class="entry"><p data-main>{_LONG}</p><p data-main>{_SHORT}</p></div><div>{_LONG}</div></body></html>""",
 )
