@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated three-line windows; those of which nothing is left are copies and go."""
+    """Documents without repeated three-line windows; those without any text left go, null texts stay."""
     short = dedup_lines(docs)
     return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).where("text IS NULL OR n_chars > 0")
 

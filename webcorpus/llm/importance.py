@@ -1,10 +1,10 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-The raw text is the whole corpus; the target is the good part of three
-quarters of a bounded sample of labelled documents. Log ratios of the two models, averaged over
-a document's n-grams, are calibrated on the last quarter to log odds; these are the
-log importance weights. As many documents are drawn without replacement as
-have odds above even, by the largest sums of weight and Gumbel noise.
+The raw text is the whole corpus; the target is the good part of three quarters
+of a bounded sample of labelled documents. Log ratios of the two models, averaged
+over a document's n-grams, are calibrated on the last quarter to log odds; these
+are the log importance weights. As many documents are drawn without replacement
+as have odds above even, by the largest sums of weight and Gumbel noise.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.common import kth_largest, numbered, pick, stage, tuned
@@ -183,10 +183,6 @@ def fit_selector(docs: DataFrame, labels: DataFrame) -> tuple[Selector, DataFram
     return selector, weighed
 
 
-def _kept(key: Column, threshold: float) -> Column:
-    return key >= F.lit(threshold)
-
-
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (doc_id, log_weight, gumbel_key, kept) for all rows of ``docs``.
 
@@ -198,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ignored; no rows give no rows.
     """
     selector, weighed = fit_selector(docs, labels)
-    return weighed.withColumn("kept", _kept(F.col("gumbel_key"), selector.threshold))
+    return weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(selector.threshold))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
