@@ -450,6 +450,10 @@ UNION ALL SELECT e.page_id, '/html/body/footer', e.pre, e.tag, e.text FROM el e
 UNION ALL SELECT page_id, '//div[@class=''ad'' or @id=''x'']', pre, tag, text FROM el WHERE tag = 'div' AND (cls = 'ad' OR id_attr = 'x')
 UNION ALL SELECT e.page_id, '//nav/ul/*[3]', e.pre, e.tag, e.text FROM el e {UP} JOIN el g ON g.page_id = p.page_id AND g.pre = p.parent
   WHERE e.sib_pos = 3 AND p.tag = 'ul' AND g.tag = 'nav'"""
+S["selector_matches_without_root"] = DOM + f"""
+SELECT page_id, x AS xpath, tag, text AS value FROM el, (VALUES ('//h1'), ('.//h1')) v(x) WHERE tag = 'h1'
+UNION ALL SELECT e.page_id, './/nav//a/@href', e.tag, {attr('e.t', 'href')} FROM el e WHERE e.tag = 'a'
+  AND EXISTS (SELECT 1 FROM el n WHERE n.page_id = e.page_id AND n.tag = 'nav' AND list_contains(e.anc, n.pre))"""
 S["selector_unique"] = DOM + """,
 x AS (SELECT page_id, '//h1' AS xpath, count(*) FILTER (tag = 'h1') AS n FROM el GROUP BY 1
   UNION ALL SELECT page_id, '//li', count(*) FILTER (tag = 'li') FROM el GROUP BY 1
@@ -530,6 +534,7 @@ SELECT page_id, x AS xpath, pre, {SHOP} || h AS target FROM (
   SELECT page_id, '//ul//a/@href' AS x, pre, {attr('t', 'href')} AS h FROM el WHERE tag = 'a' AND cls = 'lnk'
   UNION ALL SELECT page_id, '//div[contains(@class,''menu'')]/a', pre, {attr('t', 'href')} FROM el WHERE tag = 'a' AND cls IS NULL
   UNION ALL SELECT page_id, '//button/@data-url', pre, {attr('t', 'data-url')} FROM el WHERE tag = 'button')"""
+S["page_links_with_base"] = ANCHORS + f" SELECT page_id, ord, {canon(rooted('url', "('/deep/dir' || href)"))} AS target FROM a JOIN pages USING (page_id)"
 S["page_link_edges"] = ANCHORS + f" SELECT page_id, url AS src, ord, {canon(rooted('url', 'href'))} AS dst FROM a JOIN pages USING (page_id)"
 PATTERNS = "WITH " + HOST_URLS + ", " + schema_sql()
 S["url_schema"] = PATTERNS + " SELECT host, pos, total, n_distinct, round(entropy, 6) + 0.0 AS entropy, slot FROM schema"

@@ -388,6 +388,15 @@ def selector_matches(spark, d):
     return m.select("page_id", "xpath", big("pre"), "tag", "value")
 
 
+@query
+def selector_matches_without_root(spark, d):
+    """Relative and absolute selectors on pages without their html and body tags."""
+    bare = F.regexp_replace("html", "</?(html|body)[^>]*>", "")
+    dm = shred.shred_html(read(spark, d, "pages").withColumn("html", bare))
+    m = selectors.match_selectors(dm, page_selectors(spark, ["//h1", ".//h1", ".//nav//a/@href"]))
+    return m.select("page_id", "xpath", "tag", "value")
+
+
 @query
 def selector_unique(spark, d):
     m = selectors.test_unique(dom(spark, d), page_selectors(spark, ["//h1", "//li", "//footer", "//div[@class='ad']", "//h6"]))
@@ -586,6 +595,13 @@ def page_link_edges(spark, d):
     return links.link_edges(read(spark, d, "pages")).select("page_id", "src", big("ord"), "dst")
 
 
+@query
+def page_links_with_base(spark, d):
+    """Links that are relative to a base element."""
+    html = F.replace(F.replace(F.col("html"), F.lit('href="/'), F.lit('href="')), F.lit("<head>"), F.lit('<head><base href="/deep/dir/x">'))
+    return links.page_links(read(spark, d, "pages").withColumn("html", html)).select("page_id", big("ord"), "target")
+
+
 def host_urls(spark, d):
     return read(spark, d, "pages").select(u.get_domain(F.col("url")).alias("host"), F.col("page_id").alias("ord"), u.normalize_url(F.col("url")).alias("url"))
 
