@@ -253,6 +253,13 @@ def similar_siblings(spark, d):
     return clean.similar_siblings(first, e).select("page_id", big("pre"), big("sib_pre"))
 
 
+@query
+def similar_siblings_all(spark, d):
+    """Siblings of every element, not of two cards a list."""
+    e = shred.elements(shred.shred_html(list_pages(spark, d)))
+    return clean.similar_siblings(e, e).select("page_id", big("pre"), big("sib_pre"))
+
+
 # ---- flagship ------------------------------------------------------------
 
 @query
@@ -327,6 +334,14 @@ def sibling_attribute_values(spark, d):
     return v.groupBy("page_id", "value").agg(F.count("*").alias("n"))
 
 
+@query
+def sibling_attribute_values_all(spark, d):
+    """Values over the siblings of every element that has the attribute."""
+    e = shred.elements(shop_lists(spark, d))
+    v = stability.sibling_attr_values(e, e.filter(F.array_contains(F.map_keys("attrs"), "data-kind")), "data-kind")
+    return v.groupBy("page_id", "value").agg(F.count("*").alias("n"))
+
+
 @query
 def ancestor_chains(spark, d):
     e = dom(spark, d)
@@ -334,6 +349,14 @@ def ancestor_chains(spark, d):
     return a.select("page_id", big("pre"), F.transform("ancestors", lambda x: x["tag"]).alias("tags"))
 
 
+@query
+def ancestor_chains_all(spark, d):
+    """All ten levels, of every element."""
+    e = dom(spark, d)
+    a = stability.ancestor_chain(e, shred.elements(e))
+    return a.select("page_id", big("pre"), F.transform("ancestors", lambda x: x["tag"]).alias("tags"))
+
+
 @query
 def neighbour_siblings(spark, d):
     a = stability.adjacent_siblings(shred.elements(shop_orders(spark, d)))
@@ -344,7 +367,7 @@ def neighbour_siblings(spark, d):
 def element_profiles(spark, d):
     dm = shop_lists(spark, d)
     e = shred.elements(dm)
-    p = stability.classify_elements(dm, e, e.filter("tag = 'li' AND tag_pos = 2"))
+    p = stability.classify_elements(dm, e, e)
     return stability.format_profile(p).select("page_id", big("pre"), "profile")
 
 
@@ -354,6 +377,13 @@ def element_contexts(spark, d):
     return stability.dom_context(dm, shred.elements(dm).filter("tag = 'h1'")).select("page_id", big("pre"), "context")
 
 
+@query
+def element_contexts_all(spark, d):
+    """Surroundings of every element."""
+    dm = shop_orders(spark, d)
+    return stability.dom_context(dm, shred.elements(dm)).select("page_id", big("pre"), "context")
+
+
 # ---- selectors -----------------------------------------------------------
 
 def with_each(df, names, rows):
@@ -791,6 +821,13 @@ def progress_flags(spark, d):
     return paginate.has_progress(s, ["chain"]).select("chain", "round", "progress")
 
 
+@query
+def progress_flags_all(spark, d):
+    """As ``progress_flags``, with whole fingerprints."""
+    s = tokens.page_fingerprint(read(spark, d, "pages")).selectExpr("page_id DIV 5 AS chain", "page_id AS round", "'same' AS url", "fingerprint", "anchor_count")
+    return paginate.has_progress(s, ["chain"]).select("chain", "round", "progress")
+
+
 @query
 def pagination_types(spark, d):
     raw = F.element_at(F.array(*[F.lit(x) for x in (" Button", "loadmore", "next-link", "LINK", "load_more", "pages")]), (F.col("page_id") % 6 + 1).cast("int"))
@@ -862,6 +899,13 @@ def similar_names(spark, d):
     return p.select("p_partkey", tx.is_similar(F.col("p_name"), b).alias("a"), tx.is_similar(F.col("p_brand"), F.concat(F.lit("Brand"), F.col("p_size"))).alias("b"))
 
 
+@query
+def similar_names_all(spark, d):
+    """As ``similar_names``, with whole names and types."""
+    p = read(spark, d, "part")
+    return p.select("p_partkey", tx.is_similar(F.col("p_name"), F.lower("p_type")).alias("a"), tx.is_similar(F.col("p_brand"), F.concat(F.lit("Brand"), F.col("p_size"))).alias("b"))
+
+
 def samples():
     k, price = F.col("p_partkey"), F.col("p_retailprice")
     cents = F.format_string("%d.50", price.cast("bigint"))
@@ -1033,6 +1077,15 @@ def pages_routed(spark, d):
     return jobs.route_pages(t, c, f)
 
 
+@query
+def pages_routed_all(spark, d):
+    """Routes from all answers."""
+    a, e = answers(spark, d), order_elements(spark, d)
+    t = responses.pick_detection(responses.parse_page_type(a))
+    _, c = responses.parse_list_response(a, e)
+    return jobs.route_pages(t, c, responses.parse_fields(a, e))
+
+
 def shop_analysis(spark, d):
     """Analysis of every archive's first order page: two fields per template."""
     p = order_pages(spark, d).filter("page_id % 200 = 0")
@@ -1084,6 +1137,16 @@ def detail_trail(spark, d):
     return r.select("page_id", "source", F.try_element_at("data", F.lit("title")).alias("title"))
 
 
+@query
+def detail_trail_all(spark, d):
+    """Trails from every order page."""
+    p = order_pages(spark, d)
+    starts = p.select("page_id", F.lit("order").alias("template_id"))
+    s = shop_selectors(spark).filter("template_id = 'order'")
+    r = jobs.detail_job(p, shred.shred_html(p), starts, s)
+    return r.select("page_id", "source", F.try_element_at("data", F.lit("title")).alias("title"))
+
+
 @query
 def templates_reanalysed(spark, d):
     """Templates in cascade failure: every third archive, re-analysed with mixed success."""
