@@ -1,9 +1,11 @@
+import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from webcorpus.llm.common import kth_largest
-from webcorpus.llm.importance import score_quality, select_quality
+from webcorpus.llm.importance import ngrams, ratio_model, score_quality, select_quality
 
 
 def corpus():
@@ -37,6 +39,28 @@ def test_held_out_accuracy_and_filter(spark, docs):
     assert sorted(r[1] for r in chosen.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def test_models_grow_with_the_corpus(spark, docs):
+    """300,000 distinct words: a rare word keeps its own counts, whether tasks hold all n-grams or few."""
+    rows = [(i, " ".join(f"v{(i * 500 + j) % 300_000}x" for j in range(500)) + (" slur" if i % 3 == 0 else " fair")) for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 1200, 2)], "doc_id long, quality int, toxic int")
+    texts = spark.createDataFrame([(i, t, int(i % 3 != 0), True) for i, t in rows], "doc_id long, text string, good int, model boolean")
+    listed, once = ratio_model(texts)
+    words = pa.array([f"v{i}x" for i in range(300_000)] + ["slur", "fair"])
+    hashes = ngrams(words)[0].tolist()
+    assert len(set(hashes)) == 300_002
+    got = {r.h: (r.raw, r.ratio) for r in listed.where("NOT pair").collect()}
+    assert [got[h][0] for h in hashes] == [2] * 300_000 + [400, 800]
+    share = 2 / 3
+    assert abs(got[hashes[-2]][1] / 65536 - math.log(1 / (400 * share + 1))) < 1e-3
+    df = docs(rows)
+    results = [sorted(map(tuple, score_quality(df, labels, n).collect())) for n in (1 << 22, 10)]
+    assert [(r[0], r[3]) for r in results[0]] == [(r[0], r[3]) for r in results[1]]
+    assert [x for r in results[0] for x in r[1:3]] == pytest.approx([x for r in results[1] for x in r[1:3]], rel=1e-9)
+    chosen = [sorted(r[1] for r in select_quality(df, labels, n).collect()) for n in (1 << 22, 10)]
+    assert chosen[0] == chosen[1] == [r[0] for r in results[0] if r[3]]
+    assert sum((i % 3 != 0) != k for i, _, _, k in results[0]) <= 12
+
+
 def test_edges(spark, docs, edge_rows):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (empty, spark.createDataFrame([(5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")):

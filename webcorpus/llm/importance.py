@@ -1,10 +1,13 @@
-"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
+"""Quality by importance resampling: n-gram models of target and raw text, Gumbel top-k.
 
 The raw text is the whole corpus; the target is the good part of three quarters
 of a bounded sample of labelled documents. Log ratios of the two models, averaged
 over a document's n-grams, are calibrated on the last quarter to log odds; these
 are the log importance weights. As many documents are drawn without replacement
 as have odds above even, by the largest sums of weight and Gumbel noise.
+
+The models count every n-gram by a 64-bit hash and grow with the corpus. They are
+a table; only its most frequent n-grams go to all tasks, the others are joined.
 """
 
 from __future__ import annotations
@@ -14,19 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.llm.common import kth_largest, numbered, pick, stage, tuned
+from webcorpus.llm.common import kth_largest, numbered, pick, row_key, stage, tuned
 from webcorpus.llm.wordhash import TOKENS, flat, mix, shingle_hashes, slices, word_hashes
 
-#: Bits of the hash of an n-gram; one table for single words and one for pairs.
-BITS = 17
+#: The most frequent n-grams of the model that go to every task, at 12 bytes each; the others are looked up by a join.
+HOT_GRAMS = 1 << 22
+#: N-grams that a counting task holds before it merges them and hands them on.
+HELD_GRAMS = 1 << 21
+#: The pair of any word with itself.
+SELF_PAIR = np.int64(0x51ED270B7F4A7C15)
 #: Labelled documents, drawn by the hash of their ids, that models and calibration see. Broadcast, so bounded.
 SAMPLE = 60_000
-#: Added to the seen and the expected count of a bucket: few sightings say little.
+#: Added to the seen and the expected count of an n-gram: few sightings say little.
 SMOOTHING = 1.0
 #: Log ratios become whole numbers of 1/SCALE, so that sums do not depend on their order.
 SCALE = 1 << 16
@@ -39,21 +47,18 @@ FEATURES = 5
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of single words and of pairs, and where each text's words and pairs begin.
+    """Hashes of single words and of pairs, and where each text's words and pairs begin.
 
-    Pairs use the second half of the table; a word after itself is one bucket
-    of its own, whatever the word.
+    A word after itself is one pair of its own, whatever the word.
     """
     words, at = word_hashes(*flat(texts), TOKENS)
-    size = np.uint64(64 - BITS)
-    single = (words >> size).astype(np.int64)
-    pairs = ((shingle_hashes(words, 2) >> size) | np.uint64(1)).astype(np.int64) + (1 << BITS)
-    pairs[words[1:] == words[:-1]] = 1 << BITS
+    pairs = shingle_hashes(words, 2).view(np.int64)
+    pairs[words[1:] == words[:-1]] = SELF_PAIR
     last = at[1:][(at[1:] > 0) & (at[1:] < len(words))] - 1  # pairs over two texts
     inside = np.ones(len(pairs), bool)
     inside[last] = False
     pair_at = np.concatenate([[0], np.cumsum(inside)])[np.minimum(at, len(pairs))]
-    return single, at, pairs[inside], pair_at
+    return words.view(np.int64), at, pairs[inside], pair_at
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
@@ -69,55 +74,104 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return drawn.withColumn("model", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) != 0)
 
 
-def ratio_model(texts: DataFrame) -> np.ndarray:
-    """Log ratios of target and raw model for all buckets, scaled to whole numbers, from rows (doc_id, text, good, model).
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One entry (hash, raw, target) for each hash."""
+    grams, raw, target = (np.concatenate(x) for x in zip(*parts))
+    kinds, where = np.unique(grams, return_inverse=True)
+    count = lambda x: np.bincount(where, x, len(kinds)).astype(np.int64)
+    return kinds, count(raw), count(target)
+
 
-    Tasks count into a table of fixed size and give back its non-empty buckets;
-    sums are map-side. The driver receives one row for each bucket at most.
+def ratio_model(texts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The model from rows (doc_id, text, good, model): rows (h, pair, raw, ratio), and the ratios of any other word and pair.
+
+    ``ratio`` is the log ratio of target and raw model in whole numbers. N-grams
+    that occur once, outside the target, all have the same one and are not listed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS, np.int64)
+        held: tuple[list, list] = ([], [])
+        totals = np.zeros((2, 2), np.int64)
+
+        def rows(pair: int) -> pa.RecordBatch:
+            grams, raw, target = held[pair][0]
+            held[pair].clear()
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), pair == 1)), pa.array(raw), pa.array(target)], names)
+
+        names = ["h", "pair", "raw", "target"]
         for whole in batches:
             for batch in slices(whole, "text"):
                 good = np.equal(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), 1)
                 good &= batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
                 single, at, pairs, pair_at = ngrams(batch.column(1))
-                for grams, begins in ((single, at), (pairs, pair_at)):
-                    raw += np.bincount(grams, minlength=2 << BITS)
-                    target += np.bincount(grams[np.repeat(good, np.diff(begins))], minlength=2 << BITS)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], ["b", "raw", "target"])
-
-    counted = texts.mapInArrow(run, "b int, raw long, target long").groupBy("b").agg(F.sum("raw"), F.sum("target"))
-    raw, target = np.zeros(2 << BITS), np.zeros(2 << BITS)
-    for b, r, t in counted.collect():
-        raw[b], target[b] = r, t
-    out = np.zeros(2 << BITS)
-    for half in (slice(0, 1 << BITS), slice(1 << BITS, 2 << BITS)):
-        expected = raw[half] * (target[half].sum() / max(raw[half].sum(), 1))
-        out[half] = np.log((target[half] + SMOOTHING) / (expected + SMOOTHING))
-    return np.rint(out * SCALE).astype(np.int32)
-
-
-def document_features(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and the features of texts.
+                for pair, grams, begins in ((0, single, at), (1, pairs, pair_at)):
+                    if not len(grams):
+                        continue
+                    target = np.repeat(good, np.diff(begins)).astype(np.int64)
+                    totals[pair] += len(grams), target.sum()
+                    held[pair].append(_merged([(grams, np.ones(len(grams), np.int64), target)]))
+                    if sum(len(x[0]) for x in held[pair]) > HELD_GRAMS:
+                        held[pair][:] = [_merged(held[pair])]
+                        if len(held[pair][0][0]) > HELD_GRAMS // 2:
+                            yield rows(pair)
+        for pair in (0, 1):
+            if held[pair]:
+                held[pair][:] = [_merged(held[pair])]
+                yield rows(pair)
+        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.array([False, True]), pa.array(totals[:, 0]), pa.array(totals[:, 1])], names)
+
+    counted = texts.mapInArrow(run, "h long, pair boolean, raw long, target long").groupBy("h", "pair").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = stage(counted.where("h IS NULL OR raw > 1 OR target > 0"))
+    shares = {r.pair: r.target / max(r.raw, 1) for r in counted.where("h IS NULL").collect()}
+    share = F.when(F.col("pair"), shares.get(True, 0.0)).otherwise(shares.get(False, 0.0))
+    ratio = F.rint(F.log((F.col("target") + SMOOTHING) / (F.col("raw") * share + SMOOTHING)) * SCALE).cast("int")
+    once = tuple(round(math.log(SMOOTHING / (shares.get(pair, 0.0) + SMOOTHING)) * SCALE) for pair in (False, True))
+    return counted.where("h IS NOT NULL").select("h", "pair", "raw", ratio.alias("ratio")), once
+
+
+class Lookup:
+    """The n-grams of a model that every task holds: sorted hashes and their ratios."""
+
+    def __init__(self, grams: np.ndarray, ratios: np.ndarray, once: tuple[int, int]):
+        order = np.argsort(grams)
+        self.grams, self.ratios, self.once = grams[order], ratios[order].astype(np.int32), once
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Words and pairs of each text; for both the sums of the ratios and of the excesses below ``FOREIGN``; n-grams not held.
+
+        N-grams that are not held count as seen once.
+        """
+        single, at, pairs, pair_at = ngrams(texts)
+        sums, others = [], []
+        for grams, begins, once in ((single, at, self.once[0]), (pairs, pair_at, self.once[1])):
+            kinds, where = np.unique(grams, return_inverse=True)
+            spot = np.minimum(np.searchsorted(self.grams, kinds), max(len(self.grams) - 1, 0))
+            held = self.grams[spot] == kinds if len(self.grams) else np.zeros(len(kinds), bool)
+            ratio = np.full(len(kinds), once, np.int64)
+            ratio[held] = self.ratios[spot[held]]
+            ratio, held = ratio[where], held[where]
+            for value in (ratio, np.minimum(ratio - int(FOREIGN * SCALE), 0)):
+                total = np.concatenate([[0], np.cumsum(value)])
+                sums.append(total[begins[1:]] - total[begins[:-1]])
+            missed = np.concatenate([[0], np.cumsum(~held)])
+            others.append(np.split(grams[~held], missed[begins[1:-1]]))
+        n = np.stack([np.diff(at), np.diff(pair_at)], axis=1)
+        return n, np.stack(sums, axis=1), [np.concatenate(x) for x in zip(*others)]
+
+
+def document_features(n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The features of texts.
 
     For words and for pairs: the mean log ratio, within -1 and 1, and the log of
     the total excess below ``FOREIGN``; last the log of the number of words.
     """
-    single, at, pairs, pair_at = ngrams(texts)
     columns = []
-    for grams, begins in ((single, at), (pairs, pair_at)):
-        ratio = model[grams].astype(np.int64)
-        n = np.maximum(np.diff(begins), 1)
-        for value in (ratio, np.minimum(ratio - int(FOREIGN * SCALE), 0)):
-            sums = np.concatenate([[0], np.cumsum(value)])
-            columns.append((sums[begins[1:]] - sums[begins[:-1]]) / float(SCALE))
-        columns[-2] = np.clip(columns[-2] / n, -1, 1)  # beyond this a document is lost or safe anyway
-        columns[-1] = np.array([math.log1p(-x) for x in columns[-1].tolist()])
-    columns.append(np.array([math.log1p(x) for x in np.diff(at).tolist()]))
-    return np.diff(at), np.stack(columns, axis=1)
+    for pair in (0, 1):
+        ratio, excess = sums[:, 2 * pair] / float(SCALE), sums[:, 2 * pair + 1] / float(SCALE)
+        columns.append(np.clip(ratio / np.maximum(n[:, pair], 1), -1, 1))  # beyond this a document is lost or safe anyway
+        columns.append(np.array([math.log1p(-x) for x in excess.tolist()]))
+    columns.append(np.array([math.log1p(x) for x in n[:, 0].tolist()]))
+    return np.stack(columns, axis=1)
 
 
 def gumbel(doc_id: int | None) -> float:
@@ -127,10 +181,10 @@ def gumbel(doc_id: int | None) -> float:
 
 
 class Selector:
-    """A fitted model: weights and keys of documents, and the least key that is kept."""
+    """Fitted weights and keys of documents, and the least key that is kept."""
 
-    def __init__(self, model: np.ndarray, coefficients: list[float], intercept: float):
-        self.model, self.coefficients, self.intercept = model, coefficients, intercept
+    def __init__(self, coefficients: list[float], intercept: float):
+        self.coefficients, self.intercept = coefficients, intercept
         self.threshold = -math.inf
 
     def keys(self, ids: pa.Array, n: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,37 +196,81 @@ class Selector:
         return np.where(n > 0, weight, -np.inf), np.where(n > 0, weight + noise, -np.inf)
 
 
-def fit_selector(docs: DataFrame, labels: DataFrame) -> tuple[Selector, DataFrame]:
-    """Fit on the whole corpus and the labelled sample; also rows (doc_id, log_weight, gumbel_key) of all documents."""
+def _looked_up(texts: DataFrame, hot_grams: int) -> tuple[DataFrame, Broadcast, bool]:
+    """Rows (doc_id, _k1, _k2, n, sums, good, model) of all documents, the held n-grams, and whether these are all."""
+    grams, once = ratio_model(texts)
+    least = 0.0
+    if rarer := grams.count() > hot_grams:
+        least = kth_largest(grams.select(F.col("raw").cast("double").alias("raw")), "raw", hot_grams)
+    held = grams.where(F.col("raw") > least).select("h", "ratio").toArrow()
+    lookup = Lookup(held.column(0).to_numpy(), held.column(1).to_numpy(), once)
+    shared = texts.sparkSession.sparkContext.broadcast(lookup)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n, sums, others = shared.value.sums(part.column(1))
+                more = pa.array(others, pa.list_(pa.int64())) if rarer else pa.nulls(len(n), pa.list_(pa.int64()))
+                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (n, sums)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *lists, more, *part.columns[2:]],
+                    ["doc_id", "n", "sums", "others", "good", "model", "_k1", "_k2"],
+                )
+
+    kinds = "doc_id long, n array<long>, sums array<long>, others array<long>, good int, model boolean, _k1 long, _k2 long"
+    measured = texts.select("doc_id", "text", "good", "model", *row_key("doc_id", "text")).mapInArrow(measure, kinds)
+    if not rarer:
+        return stage(measured.drop("others")), shared, True
+    measured = stage(measured.withColumn("_uid", F.monotonically_increasing_id()))
+    # what the rarer n-grams add to the sums, in which they count as seen once
+    first = F.when(F.col("pair"), F.lit(once[1])).otherwise(F.lit(once[0]))
+    excess = F.least(F.col("ratio") - F.lit(int(FOREIGN * SCALE)), F.lit(0))
+    rare = grams.where(F.col("raw") <= least).select("h", "pair", (F.col("ratio") - first).alias("more"), excess.alias("excess"))
+    asked = measured.select("_uid", F.explode("others").alias("h"))
+    kind = lambda pair, c: F.sum(F.when(F.col("pair") == pair, F.col(c)).otherwise(0))
+    added = asked.join(rare, "h").groupBy("_uid").agg(F.array(*[kind(pair, c) for pair in (False, True) for c in ("more", "excess")]).alias("added"))
+    both = F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda x, y: x + y))
+    return stage(measured.drop("others").join(added, "_uid", "left").withColumn("sums", both).drop("_uid", "added")), shared, False
+
+
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.int64).reshape(-1, width)
+
+
+def fit_selector(docs: DataFrame, labels: DataFrame, hot_grams: int = HOT_GRAMS) -> tuple[Selector, DataFrame, Broadcast | None]:
+    """Fit on the whole corpus and the labelled sample.
+
+    Also rows (doc_id, _k1, _k2, log_weight, gumbel_key) of all documents, and
+    the model, if it is small enough for every task to hold all of it.
+    """
     tuned(docs.sparkSession)
     texts = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sample = stage(_labelled(labels))
     texts = texts.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "text", "good", "model")
-    model = ratio_model(texts)
+    measured, shared, whole = _looked_up(texts, hot_grams)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                n, found = document_features(batch.column(1), model)
-                values = pa.array(list(found), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), values, *batch.columns[2:]], ["doc_id", "n", "f", "good", "model"])
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = document_features(_numbers(batch.column(0), 2), _numbers(batch.column(1), 4))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.float64())), batch.column(2)], ["f", "good"])
 
-    measured = stage(texts.mapInArrow(measure, "doc_id long, n long, f array<double>, good int, model boolean"))
-    known = measured.where("good IS NOT NULL AND NOT model AND n > 0")
-    selector = Selector(model, [0.0] * FEATURES, 0.0)
+    known = measured.where("good IS NOT NULL AND NOT model AND n[0] > 0").select("n", "sums", "good")
+    known = stage(known.mapInArrow(featured, "f array<double>, good int"))
+    selector = Selector([0.0] * FEATURES, 0.0)
     both = known.agg(F.countDistinct("good")).first()[0] == 2
     if both:
         rows = known.select(F.col("good").cast("double").alias("label"), array_to_vector("f").alias("features"))
         fitted = LogisticRegression(maxIter=100, regParam=1e-4).fit(rows)
-        selector = Selector(model, [float(c) for c in fitted.coefficients], float(fitted.intercept))
+        selector = Selector([float(c) for c in fitted.coefficients], float(fitted.intercept))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, FEATURES)
-            weight, key = selector.keys(batch.column(0), batch.column(1).to_numpy(), found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(key)], ["doc_id", "log_weight", "gumbel_key"])
+            n = _numbers(batch.column(3), 2)
+            weight, key = selector.keys(batch.column(0), n[:, 0], document_features(n, _numbers(batch.column(4), 4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weight), pa.array(key)], ["doc_id", "_k1", "_k2", "log_weight", "gumbel_key"])
 
-    weighed = stage(measured.select("doc_id", "n", "f").mapInArrow(weigh, "doc_id long, log_weight double, gumbel_key double"))
+    weighed = measured.select("doc_id", "_k1", "_k2", "n", "sums").mapInArrow(weigh, "doc_id long, _k1 long, _k2 long, log_weight double, gumbel_key double")
+    weighed = stage(weighed)
     if both:
         drawn = weighed.where("log_weight > 0").count()
         finite = weighed.where(F.col("gumbel_key") > float("-inf"))
@@ -180,10 +278,10 @@ def fit_selector(docs: DataFrame, labels: DataFrame) -> tuple[Selector, DataFram
         selector.threshold = math.inf if least is None else least
     else:
         selector.threshold = -1e300
-    return selector, weighed
+    return selector, weighed, shared if whole else None
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """Rows (doc_id, log_weight, gumbel_key, kept) for all rows of ``docs``.
 
     Null, empty and blank texts have no n-gram: weight and key minus infinity,
@@ -191,24 +289,29 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     no good or no other document, nothing can be told apart: weights are 0 and
     every text with words is kept. Labels without document, with nulls or
     contradictions do no harm; repeated rows are scored each; other columns are
-    ignored; no rows give no rows.
+    ignored; no rows give no rows. ``hot_grams`` bounds what a task holds and
+    does not change the result.
     """
-    selector, weighed = fit_selector(docs, labels)
-    return weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(selector.threshold))
+    selector, weighed, _ = fit_selector(docs, labels, hot_grams)
+    return weighed.drop("_k1", "_k2").withColumn("kept", F.col("gumbel_key") >= F.lit(selector.threshold))
 
 
-def select_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with all their columns, as one more filter over the texts."""
-    selector, _ = fit_selector(docs, labels)
+def select_quality(docs: DataFrame, labels: DataFrame, hot_grams: int = HOT_GRAMS) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns: one more filter over the texts, or a join with the drawn ones."""
+    selector, weighed, shared = fit_selector(docs, labels, hot_grams)
     inner, columns = numbered(docs, "doc_id", "text")
     inner = inner.withColumn("doc_id", F.col("doc_id").cast("long"))
     width = len(columns)
+    if shared is None:
+        drawn = weighed.where(F.col("gumbel_key") >= F.lit(selector.threshold)).select("_k1", "_k2").distinct()
+        keyed = inner.select("*", *row_key("doc_id", "text")).join(drawn, ["_k1", "_k2"], "left_semi")
+        return keyed.drop("_k1", "_k2", "doc_id", "text").toDF(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, found = document_features(batch.column(width + 1), selector.model)
-                key = selector.keys(batch.column(width), n, found)[1]
+                n, sums, _ = shared.value.sums(batch.column(width + 1))
+                key = selector.keys(batch.column(width), n[:, 0], document_features(n, sums))[1]
                 yield batch.filter(pa.array(key >= selector.threshold))
 
     return inner.mapInArrow(run, inner.schema).drop("doc_id", "text").toDF(*columns)
