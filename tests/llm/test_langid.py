@@ -1,6 +1,6 @@
 import random
 
-from webcorpus.llm.langid import dictionaries, identify
+from webcorpus.llm.langid import _agreed, dictionaries, identify
 
 SOUNDS = {"aa": ["ka", "lo", "mi", "tu", "ra"], "bb": ["sch", "ung", "ein", "ver", "pfl"]}
 
@@ -21,6 +21,30 @@ def test_held_out_accuracy(spark, docs):
     assert all(r.rejected == (r.score < 0.005) for r in got.values())
 
 
+def test_copies_do_not_thin_a_language(spark):
+    rng = random.Random(2)
+    few = [text(rng, "aa", 80) for _ in range(5)]
+    known = [(few[i % 5], "aa") for i in range(40_000)] + [(text(rng, "bb", 80), "bb") for _ in range(100)]
+    content = dictionaries(spark.createDataFrame(known, "text string, lang string"))
+    assert list(content) == ["aa", "bb"] and all(t.encode() in content["aa"] for t in few)
+
+
+def test_short_texts_fill_the_dictionary(spark):
+    rng = random.Random(3)
+    known = [(text(rng, "aa", 3) + f" {i}", "aa") for i in range(20_000)]
+    assert len(dictionaries(spark.createDataFrame(known, "text string, lang string"), size=20_000)["aa"]) >= 20_000
+
+
+def test_a_language_of_few_texts_stays():
+    rng = random.Random(4)
+    large = [("bb", text(rng, "bb", 80).encode()) for _ in range(400)]
+    few = [("cc", text(rng, "bb", 4).encode()) for _ in range(6)]  # the other half denies them
+    kept = _agreed(large[:200] + few + large[200:])
+    assert [x for x in kept if x[0] == "cc"] == few
+    wrong = [("aa", large[0][1]), *[("aa", text(rng, "aa", 80).encode()) for _ in range(60)]]
+    assert ("aa", large[0][1]) not in _agreed(large + wrong)
+
+
 def test_edges(spark, docs, edge_rows):
     none = dictionaries(spark.createDataFrame([(None, "aa"), ("x", None)], "text string, lang string"))
     assert none == {}

@@ -8,6 +8,7 @@ the language, and a narrow margin rejects it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from webcorpus.llm.common import pick, tuned
 
 #: Bytes of raw content for each language; whole texts are taken while they begin below this.
 DICTIONARY_BYTES = 131_072
-#: Texts drawn for each language to fill the dictionary; the draw is by the hash of the text.
+#: Different texts drawn for each language, or more where these are short; the draw is by the hash of the text.
 DRAWN_TEXTS = 800
 #: A text is compressed in stretches of this many bytes, so that the dictionary counts in all of it.
 STRETCH_BYTES = 4_096
@@ -39,18 +40,21 @@ def letters(text: str) -> bytes:
 def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DRAWN_TEXTS) -> dict[str, bytes]:
     """Raw content by language from rows (text, lang); a bounded sample of labelled rows.
 
-    Rows are counted for each language, thinned by a hash of the text to about
-    ``drawn`` a language inside the scan, and only the thinned rows are ordered and cut.
-    The driver receives twice ``size`` bytes and a text at most for each language,
+    Different texts and their bytes are counted for each language by hashes of the
+    texts; the scan thins them by hash to about ``drawn`` a language, or to about four
+    times ``size`` bytes where that takes more, and only the thinned rows are ordered and
+    cut. The driver receives twice ``size`` bytes and a text at most for each language,
     and leaves out texts that look mislabelled. The most frequent language comes
     first; that decides ties.
     """
     known = texts.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    drawn_by = F.shiftrightunsigned(F.xxhash64("text"), 11)
+    different = known.groupBy("lang", drawn_by.alias("h")).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("size"))
+    found = different.groupBy("lang").agg(F.sum("n"), F.count("*"), F.sum("size")).collect()
+    counts = {r[0]: r[1] for r in found}
     if not counts:
         return {}
-    drawn_by = F.shiftrightunsigned(F.xxhash64("text"), 11)
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, drawn / n)))])
+    share = F.create_map(*[x for lang, _, n, length in found for x in (F.lit(lang), F.lit(min(1.0, max(drawn / n, 4 * size / length))))])
     thin = known.where(drawn_by < share[F.col("lang")] * F.lit(float(1 << 53)))
     thin = thin.groupBy("lang", drawn_by.alias("h")).agg(F.first("text").alias("text"))  # copies count once
     before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +74,10 @@ def _content(texts: list[tuple[str, bytes]], size: int) -> dict[str, bytes]:
 
 
 def _agreed(texts: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
-    """The texts without those whose language the dictionaries of the other half of the texts deny: mislabelled ones."""
+    """The texts without those whose language the dictionaries of the other half of the texts deny: mislabelled ones.
+
+    A language of which half or more is denied keeps all its texts: it has too few to judge by.
+    """
     halves = texts[::2], texts[1::2]
     kept = []
     for own, other in (halves, halves[::-1]):
@@ -80,7 +87,9 @@ def _agreed(texts: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
             sizes = dict(zip(judge.languages, judge.sizes(text)))
             if lang not in sizes or sizes[lang] <= min(sizes.values()):
                 kept.append((lang, text))
-    return kept
+    before, after = Counter(lang for lang, _ in texts), Counter(lang for lang, _ in kept)
+    few = {lang for lang, n in before.items() if 2 * after[lang] <= n}
+    return [x for x in kept if x[0] not in few] + [x for x in texts if x[0] in few]
 
 
 class Compressor:
