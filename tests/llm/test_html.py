@@ -41,6 +41,33 @@ def test_blocks_of_broken_markup():
         text_blocks("".join(rng.choice(bits) for _ in range(rng.randint(0, 30))))
 
 
+BODY = "The river had been rising for three days when the council met in the old hall. " * 3
+
+
+@pytest.mark.parametrize("said", ['class="layout has-sidebar"', 'class="no-sidebar"', 'class="right-rail"', 'id="community-page"', 'class="has-comments"'])
+def test_wrappers_with_words_against(tree, said):
+    page = f"<html><body><nav><a href=x>Home</a></nav><div {said}><article><p>{BODY}</p></article><div class=sidebar><p>Ten ways to dry a cellar.</p></div></div></body></html>"
+    assert main_text(tree, page) == BODY.strip()
+    if "comments" not in said:
+        assert main_text(tree, page.replace("article>", "section>")) == BODY.strip()
+
+
+def test_what_speaks_against_stays(tree):
+    page = f"<body><article><p>{BODY}</p></article>" + f"<div class=comments><p>{BODY * 4}</p></div><div class=newsletter><p>{BODY * 4}</p></div>"
+    assert main_text(tree, page) == BODY.strip()
+    assert main_text(tree, f"<body><div hidden><article><p>{BODY}</p></article></div></body>") == ""
+    assert main_text(tree, f"<body><div class=comments><p>{BODY}</p></div></body>") == ""
+
+
+def test_text_of_formulas_and_drawings(tree):
+    page = f"<body><article><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><style>a</style><text>flood</text></svg> <object>map</object></p></article></body>"
+    assert main_text(tree, page).endswith("x=2 flood map")
+
+
+def test_many_marks_take_linear_time(tree):
+    assert main_text(tree, "<div class=sidebar>" * 60_000 + "<p>x") in ("", "x")
+
+
 def test_many_open_tags_take_linear_time(tree):
     assert main_text(tree, "<b>" * 60_000 + "<article><p>x</p></article>" + "</i>" * 60_000) == "x"
 

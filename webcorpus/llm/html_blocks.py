@@ -13,7 +13,7 @@ BLOCK = frozenset(
     "pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style template textarea svg math iframe object canvas audio video select head title".split())
+DROPPED = frozenset("script style template textarea iframe canvas audio video head title".split())
 CHROME = frozenset("nav footer aside form menu dialog button noscript fieldset search label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph, and those of which a new one ends an open one of the same kind.
@@ -30,6 +30,8 @@ AGAINST = frozenset(
     "widget widgets alert".split()
 )
 FOR = frozenset("article content entry main post story text body".split())
+#: Words that words for the main text beside them do not outweigh, and that hold for articles inside.
+STRONG = frozenset("comment comments ad ads related".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -51,18 +53,35 @@ class Block(NamedTuple):
 
 
 class _Open(NamedTuple):
-    """An open element and what it and its ancestors say."""
+    """An open element and what it and its ancestors say.
+
+    ``mark``: number of the nearest mark against it; ``hard``: the nearest one
+    that an article inside does not lift; ``within``: the nearest one around it,
+    lifted or not; -1 for none.
+    """
 
     name: str
     link: bool
     heading: bool
     chrome: bool
-    against: bool
     article: bool
     label: bool
+    main: bool
+    mark: int
+    hard: int
+    within: int
+
+
+_ROOT = _Open("", False, False, False, False, False, False, -1, -1, -1)
 
 
-_ROOT = _Open("", False, False, False, False, False, False)
+class _Mark(NamedTuple):
+    """An element that its class, id or role speak against, or that is hidden."""
+
+    hidden: bool
+    strong: bool
+    above: int
+    around: int
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -72,23 +91,56 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _opened(name: str, raw: str, above: _Open) -> _Open:
+def _opened(name: str, raw: str, above: _Open, marks: list[_Mark]) -> _Open:
     attrs = _attributes(raw) if raw.strip(" /") else {}
     said = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
     parts = {p.lower() for p in _PARTS.findall(said)} if said else set()
     main = name in ("article", "main") or attrs.get("role") in ("main", "article")
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
-    neutral = name in ("html", "body") or main and not above.against
-    against = above.against or hidden or (not neutral and bool(parts & AGAINST) and not (parts & FOR and not parts & {"comment", "comments", "ad", "ads", "related"}))
+    neutral = name in ("html", "body") or main and above.mark < 0
+    strong = bool(parts & STRONG)
+    own = hidden or (not neutral and bool(parts & AGAINST) and not (parts & FOR and not strong))
+    mark, hard, within = above.hard if main else above.mark, above.hard, above.within
+    if own:
+        marks.append(_Mark(hidden, strong, above.mark, above.within))
+        mark = within = len(marks) - 1
+        hard = mark if hidden or strong else hard
     chrome = above.chrome or name in CHROME or (name == "header" and not above.article)
-    if main and not against and not above.chrome:
+    if main and mark < 0 and not above.chrome:
         chrome = False
     return _Open(
-        name, above.link or (name == "a" and "href" in attrs), above.heading or name in HEADINGS, chrome, against,
+        name, above.link or (name == "a" and "href" in attrs), above.heading or name in HEADINGS, chrome,
         above.article or main or (bool(parts & FOR) and name not in ("html", "body")), above.label or "data-main" in attrs,
+        above.main or main, mark, hard, within,
     )
 
 
+def _against(blocks: list[Block], stood: list[_Open], marks: list[_Mark]) -> list[Block]:
+    """The blocks with ``against`` set: whether a mark around them stands.
+
+    A mark of an element that holds most words of the page is lifted if no text
+    outside it looks like an article, for strong words if it holds an article
+    element too: such an element is the layout of the page. Hidden ones stay.
+    """
+    count = [[0, 0, 0] for _ in marks]  # words; those that look like an article; those in article elements
+    page = good = 0
+    for block, where in zip(blocks, stood):
+        fine = block.words * (where.article and not where.chrome and where.mark < 0)
+        page, good = page + block.words, good + fine
+        if where.within >= 0:
+            for i, n in enumerate((block.words, fine, block.words * where.main)):
+                count[where.within][i] += n
+    for at in range(len(marks) - 1, -1, -1):
+        if (around := marks[at].around) >= 0:
+            for i in range(3):
+                count[around][i] += count[at][i]
+    stands: list[bool] = []
+    for mark, (words, fine, inner) in zip(marks, count):
+        lifted = not mark.hidden and 2 * words > page and fine == good and (inner > 0 or not mark.strong)
+        stands.append(not lifted or (mark.above >= 0 and stands[mark.above]))
+    return [b._replace(against=w.mark >= 0 and stands[w.mark]) for b, w in zip(blocks, stood)]
+
+
 def text_blocks(page: str) -> list[Block]:
     """All text blocks in page order, without scripts, styles, comments and hidden heads.
 
@@ -96,6 +148,8 @@ def text_blocks(page: str) -> list[Block]:
     white space inside a block becomes one space. Markup may be broken in any way.
     """
     blocks: list[Block] = []
+    stood: list[_Open] = []
+    marks: list[_Mark] = []
     stack: list[_Open] = [_ROOT]
     open_names: dict[str, int] = {}
     parts: list[tuple[str, bool]] = []
@@ -107,7 +161,8 @@ def text_blocks(page: str) -> list[Block]:
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
             linked = len("".join(t if link else " " for t, link in parts).split())
-            blocks.append(Block(text, text.count(" ") + 1, linked, where.heading, where.chrome, where.against, where.article, where.label))
+            blocks.append(Block(text, text.count(" ") + 1, linked, where.heading, where.chrome, False, where.article, where.label))
+            stood.append(where)
         parts.clear()
 
     def close(depth: int) -> None:
@@ -180,10 +235,10 @@ def text_blocks(page: str) -> list[Block]:
             close(depth)
         if name in _ENDS_SAME and (depth := nearest(_ENDS_SAME[name], BLOCK - {"p", "td", "th", "dt", "dd"} - {*_ENDS_SAME[name]})):
             close(depth)
-        stack.append(_opened(name, raw, stack[-1]))
+        stack.append(_opened(name, raw, stack[-1], marks))
         open_names[name] = open_names.get(name, 0) + 1
     flush()
-    return blocks
+    return _against(blocks, stood, marks)
 
 
 FEATURES = (

@@ -42,4 +42,9 @@ PAGES = (
     f"""<html><body><div><p>{_LONG}</p><p>{_SHORT}</p></div><article data-main><h1>Dry again</h1><p>{_MID}</p><p>{_LONG}</p></article>
     <div><p>{_MID}</p></div><p>{_SHORT}</p></body></html>""",
     f"""<html><body><p>{_MID}</p><div class="entry"><p data-main>{_LONG}</p><p data-main>{_SHORT}</p></div><div>{_LONG}</div></body></html>""",
+    f"""<html><body><div class="layout has-sidebar"><article data-main><h1>High water</h1><p>{_LONG}</p><p>{_MID}</p></article>
+    <div class="sidebar"><h3>Popular</h3><p>{_MID}</p></div></div></body></html>""",
+    f"""<html><body><div id="community-page"><h1 data-main>Thanks</h1><p data-main>{_LONG}</p><p data-main>{_MID}</p><p data-main>{_SHORT}</p>
+    <div class="comments"><p>{_MID}</p></div></div></body></html>""",
+    f"""<html><body><div class="right-rail"><main data-main><p>{_MID}</p><p>{_SHORT}</p></main></div><div class="promo"><p>{_LONG}</p></div></body></html>""",
 )
