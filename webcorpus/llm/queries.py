@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webcorpus.llm.ann import nearest
+from webcorpus.llm.conversation import damage, repair_report
 from webcorpus.llm.decontam import leaks
 from webcorpus.llm.html_extract import extract_main_text
 from webcorpus.llm.importance import score_quality
@@ -16,6 +17,7 @@ from webcorpus.llm.langid import dictionaries, identify
 from webcorpus.llm.line_dedup import dedup_lines
 from webcorpus.llm.near_dup import near_duplicates
 from webcorpus.llm.packing import pack_documents
+from webcorpus.llm.repair_sql import STRUCTURE_REPAIR
 from webcorpus.llm.sharding import shard_records
 from webcorpus.llm.tokencount import count_tokens
 
@@ -80,15 +82,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation, damaged in a known way."""
+    return repair_report(damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_sharding, op3_html_extraction, op4_minhash, op5_nearest, op6_token_counts,
-        op7_language, op8_packing, op9_quality, op10_line_dedup,
+        op7_language, op8_packing, op9_quality, op10_line_dedup, op11_structure_repair,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op11_structure_repair": STRUCTURE_REPAIR,
     "op10_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
