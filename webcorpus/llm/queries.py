@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from webcorpus.llm.ann import nearest
 from webcorpus.llm.conversation import damage, repair_report
 from webcorpus.llm.decontam import leaks
+from webcorpus.llm.hard_negatives import mine_hard_negatives
 from webcorpus.llm.html_extract import extract_main_text
 from webcorpus.llm.importance import score_quality
 from webcorpus.llm.langid import dictionaries, identify
 from webcorpus.llm.line_dedup import dedup_lines
 from webcorpus.llm.near_dup import near_duplicates
 from webcorpus.llm.packing import pack_documents
+from webcorpus.llm.quality_rules import fit_lines, rate_documents
 from webcorpus.llm.repair_sql import STRUCTURE_REPAIR
 from webcorpus.llm.sharding import shard_records
 from webcorpus.llm.tokencount import count_tokens
@@ -87,16 +89,45 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damage(_table(spark, sf_dir, "conversations")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; each seventh label is moved on first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_hard_negatives(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether enough of its words stand in content lines."""
+    docs = _table(spark, sf_dir, "documents")
+    return rate_documents(docs, fit_lines(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_sharding, op3_html_extraction, op4_minhash, op5_nearest, op6_token_counts,
         op7_language, op8_packing, op9_quality, op10_line_dedup, op11_structure_repair,
+        op12_hard_negatives, op13_quality_rules,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op11_structure_repair": STRUCTURE_REPAIR,
+    "op12_hard_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INT AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3""",
     "op10_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
