@@ -30,7 +30,7 @@ LABELLED_TEXTS, LABELLED_LINES = 2_000, 1_000
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
-_UPPER, _LOWER, _DIGITS, _CALLS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"!?"
+_UPPER, _LOWER, _DIGITS, _CALLS, _OTHER = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"!?", bytes(range(128, 256))
 
 #: Upper ends of the classes of each measured value; a value is of the first class whose end it does not exceed.
 _CLASSES = {
@@ -109,7 +109,7 @@ def read_text(text: str) -> Reading:
         counts.append(k)
         values.append((
             k, size / k, _without(body, SYMBOLS) / k, upper / max(upper + lower, 1), _without(body, _DIGITS) / size,
-            _without(body, _CALLS) / k, covered.count(1, at, at + k) / k, len(set(ws)) / k, sum(map((127).__lt__, body)) / size,
+            _without(body, _CALLS) / k, covered.count(1, at, at + k) / k, len(set(ws)) / k, _without(body, _OTHER) / size,
         ))
         end = body[-1:]
         sentence = 0 if end in b".!?" else 1 if end in b",;:|" or end in SYMBOLS else 2
