@@ -322,16 +322,11 @@ cut AS (
   FROM src LEFT JOIN kept USING (page_id) LEFT JOIN notes USING (page_id)
 )
 SELECT page_id, length(html) AS chars, md5(html) AS digest FROM cut"""
-S["aid_resolved"] = DOM + " SELECT page_id, 'e' || pre AS aid, tag, pre FROM el WHERE pre IN (3, 20, 99)"
+S["aid_resolved"] = DOM + " SELECT page_id, 'e' || pre AS aid, tag, pre FROM el WHERE pre % 2 = 0"
 S["element_texts"] = DOM + r"""
 SELECT page_id, pre, CASE WHEN length(x) > 100 THEN substring(x, 1, 100) || '...' ELSE x END AS sample, substring(x, 1, 100) AS plain
 FROM (SELECT page_id, pre, trim(text, ' \t\n\r') AS x FROM el)""".replace(r"\t\n\r", "\t\n\r")
 S["text_contents"] = DOM + f" SELECT page_id, pre, md5({NORM.format('text')}) AS digest FROM el"
-S["similar_siblings"] = with_src(LIST_PAGES_SQL, texts=False) + f""",
-c AS (SELECT page_id, parent, tag, tag_pos, pre, {cls_tokens('cls')} AS toks FROM el WHERE tag = 'li')
-SELECT a.page_id, a.pre, b.pre AS sib_pre FROM c a JOIN c b ON a.page_id = b.page_id AND a.parent = b.parent AND list_has_any(a.toks, b.toks)
-WHERE a.tag_pos IN (1, 8)"""
-
 DIGITS, DATE = "regexp_full_match({0}, '[0-9]+')", "regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{8}}|[0-9]{{4}}')"
 TOKEN = "(regexp_full_match(lower({0}), '[0-9a-f]{{8,}}|[0-9a-f-]{{18,}}') OR regexp_full_match({0}, '[a-zA-Z0-9_-]{{20,}}'))"
 NORMSEG = ("CASE WHEN " + DIGITS + " THEN '{{id}}' WHEN " + DATE + " THEN '{{date}}' WHEN " + TOKEN
@@ -418,23 +413,18 @@ st AS (
 SELECT page_id, pre, pos, token, CASE WHEN regexp_matches(token, {RANDOM}) THEN 'random' WHEN total < 2 THEN 'unknown' WHEN freq = total THEN 'stable'
   WHEN freq > 0 AND freq < total * 0.3 THEN 'conditional' WHEN freq <= 1 AND regexp_matches(token, '[0-9]|^[a-z]+-[a-z]+-') THEN 'business'
   WHEN freq <= 1 THEN 'random' ELSE 'stable' END AS classification FROM st"""
-S["sibling_attribute_values"] = "SELECT o_orderkey // 20 + 10000000000 AS page_id, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL"
+S["similar_siblings"] = LISTS_BARE + ", " + SIBLINGS + " SELECT page_id, pre, other AS sib_pre FROM sib"
+S["sibling_attribute_values"] = """SELECT o_orderkey // 20 + 10000000000 AS page_id, o_orderpriority AS value, count(*) * any_value(cards) AS n
+FROM orders JOIN (SELECT o_orderkey // 20 AS k, count(*) AS cards FROM orders GROUP BY 1) ON k = o_orderkey // 20 GROUP BY 1, 2"""
 S["ancestor_chains"] = DOM + """
-SELECT e.page_id, e.pre, list(a.tag ORDER BY a.depth DESC)[1:3] AS tags
-FROM el e JOIN el a ON a.page_id = e.page_id AND list_contains(e.anc, a.pre) WHERE e.tag = 'a' GROUP BY ALL"""
+SELECT e.page_id, e.pre, coalesce(list(a.tag ORDER BY a.depth DESC) FILTER (a.tag IS NOT NULL), [])[1:10] AS tags
+FROM el e LEFT JOIN el a ON a.page_id = e.page_id AND list_contains(e.anc, a.pre) GROUP BY ALL"""
 S["neighbour_siblings"] = ORDERS + TEXT_NODES + """,
 m AS (SELECT ev.page_id, ev.parent, ev.i, el.pre, el.tag, el.cls, trim(el.text, ' \t\n\r') AS text FROM ev LEFT JOIN el ON el.page_id = ev.page_id AND el.pre = ev.el),
 w AS (SELECT *, lag(tag) OVER x AS prev_tag, lag(text) OVER x AS pt, lead(tag) OVER x AS next_tag, lead(cls) OVER x AS nc FROM m
   WINDOW x AS (PARTITION BY page_id, parent ORDER BY i))
 SELECT page_id, pre, CASE WHEN parent >= 0 THEN prev_tag END AS prev_tag, CASE WHEN prev_tag IS NOT NULL AND parent >= 0 THEN substring(pt, 1, 50) END AS prev_text,
   CASE WHEN parent >= 0 THEN next_tag END AS next_tag, CASE WHEN next_tag IS NOT NULL AND parent >= 0 THEN coalesce(nc, '') END AS next_class FROM w WHERE pre IS NOT NULL"""
-S["element_contexts"] = """
-SELECT o_orderkey AS page_id, 8 AS pre, concat('element <h1 data-testid="order-title" (stable)>', chr(10), 'words "Order ', o_orderkey, '"', chr(10),
- 'inside, from the nearest', chr(10), '  * <div class="main(stable)" id="main" (unknown)>', chr(10), '  * <body>', chr(10), '  * <html>', chr(10),
- 'beside, three places at most', chr(10), '  > <span class="price(stable)">', chr(10), '  > <span class="status(stable) st-', o_orderstatus, '(stable)" hidden="" (unknown)>', chr(10),
- CASE WHEN o_orderpriority = '1-URGENT' THEN '  > <b class="flag(stable)" style="display:none" (unknown)>' ELSE '  > <div class="body(stable)">' END, chr(10),
- 'holds, two levels down', chr(10), '  nothing') AS context FROM orders"""
-
 # ---- selectors -----------------------------------------------------------
 
 S["selectors_parsed"] = ANCHORS + " SELECT page_id, ord, 4 AS n_steps, ord + 1 AS pos, '@href' AS suffix, false AS failed FROM a"
@@ -614,7 +604,7 @@ l AS (SELECT page_id, ord, {canon(rooted('url', 'href'))} AS target FROM a JOIN
 SELECT page_id, count(*) AS n_candidates, arg_min(target, ord) FILTER (NOT EXISTS (SELECT 1 FROM l o WHERE o.page_id = l.page_id AND o.ord < 2 AND o.target = l.target)) AS target
 FROM l GROUP BY page_id""".replace("arg_min(target, ord) FILTER (NOT EXISTS (SELECT 1 FROM l o WHERE o.page_id = l.page_id AND o.ord < 2 AND o.target = l.target))", "arg_min(target, ord) FILTER (f >= 2)").replace("FROM l GROUP BY page_id", "FROM (SELECT *, min(ord) OVER (PARTITION BY page_id, target) AS f FROM l) GROUP BY page_id")
 S["progress_flags"] = f"""WITH f AS ({S['page_fingerprints']})
-SELECT page_id // 5 AS chain, page_id AS round, substring(fingerprint, 1, 1) <> lag(substring(fingerprint, 1, 1)) OVER w OR anchor_count > lag(anchor_count) OVER w AS progress
+SELECT page_id // 5 AS chain, page_id AS round, fingerprint <> lag(fingerprint) OVER w OR anchor_count > lag(anchor_count) OVER w AS progress
 FROM f WINDOW w AS (PARTITION BY page_id // 5 ORDER BY page_id)"""
 S["pagination_types"] = "SELECT page_id, ['load_more', 'load_more', 'link', 'link', 'load_more', NULL][page_id % 6 + 1] AS kind FROM pages"
 
@@ -653,7 +643,7 @@ def similar(a: str, b: str) -> str:
 
 
 S["similar_names"] = f"""SELECT p_partkey, {similar('p_name', 'y')} AS a, {similar('p_brand', 'z')} AS b
-FROM (SELECT *, substring(p_name, 1, 3) || lower(substring(p_type, 1, 5)) AS y, 'Brand' || p_size AS z FROM part)"""
+FROM (SELECT *, lower(p_type) AS y, 'Brand' || p_size AS z FROM part)"""
 S["value_shapes"] = "SELECT p_partkey, ['currency', 'decimal', 'url', 'email', NULL][p_partkey % 5 + 1] AS shape FROM part"
 S["healed_values"] = """
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 = 0 WHEN p_partkey % 3 = 0 THEN p_partkey % 5 = 2 ELSE true END AS ok FROM part"""
@@ -675,7 +665,18 @@ S["container_works"] = f"""SELECT page_id, x AS container_xpath, x = '//ul/li' A
 O = "SELECT o_orderkey AS page_id, o_orderkey % 4 AS k, o_orderkey % 5 < 2 AS unsure FROM orders"
 TYPE = "CASE k WHEN 3 THEN 'article' WHEN 0 THEN 'list' ELSE 'detail' END"
 N_EL = "SELECT o_orderkey AS page_id, 20 + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS n_el FROM orders"
-S["fences_stripped"] = f"""SELECT page_id, concat('{{"page_type": "', {TYPE}, '", "confidence": ', CASE WHEN unsure THEN '0.5' ELSE '0.9' END, ', "reason": "r"}}') AS content FROM ({O})"""
+FIELDS_JSON = """'{"fields": [{"name": "title", "aid": "e9", "extract": "text", "description": "t"}, {"name": "far", "aid": "e' || (page_id % 60)
+  || '", "extract": "attribute", "attribute_name": "href", "description": "f"}, {"name": "bad", "aid": "e1", "extract": "html", "description": "x"}]'"""
+S["fences_stripped"] = f"""WITH o AS (FROM ({O}))
+SELECT page_id, 'page_type' AS prompt_kind, a AS attempt,
+  concat('{{"page_type": "', {TYPE}, '", "confidence": ', CASE WHEN unsure THEN ['0.5', '0.6'][a + 1] ELSE '0.9' END, ', "reason": "r"}}') AS content
+FROM o, (VALUES (0), (1)) v(a)
+UNION ALL SELECT page_id, 'list_fields', 0, concat('{{"page_type": "list", "container_aid": "e', page_id % 40, '", "primary_detail_link_xpath": ',
+  CASE WHEN k = 0 THEN '"//a[@data-aid]"' ELSE '" //main//a/@href "' END,
+  ', "detail_link_xpath_candidates": [{{"xpath": "//ul//a/@href", "confidence": 0.6}}, {{"xpath": "//main//a/@href"}}, {{"xpath": " "}}], "pagination": {{"next_aid": "e5", "type": "Button"}}}}') FROM o
+UNION ALL SELECT page_id, 'detail_fields', 0, {FIELDS_JSON} || '}}' FROM o
+UNION ALL SELECT page_id, 'legacy', 0, concat({FIELDS_JSON}, ', "page_type": "', CASE WHEN k = 1 THEN 'list' ELSE 'detail' END, '"}}') FROM o
+UNION ALL SELECT page_id, 'heal', 0, concat('{{"found": ', CASE WHEN k = 2 THEN 'false' ELSE 'true' END, ', "aid": "e9"}}') FROM o"""
 S["page_types_parsed"] = f"""SELECT page_id, a AS attempt, {TYPE} AS page_type, CASE WHEN unsure THEN 0.5 + a / 10 ELSE 0.9 END AS confidence
 FROM ({O}), (VALUES (0), (1)) v(a) WHERE k < 3"""
 S["detections_picked"] = f"""SELECT page_id, {TYPE} AS page_type, CASE WHEN unsure THEN 0.6 ELSE 0.9 END AS confidence, unsure AS use_legacy FROM ({O}) WHERE k < 3"""
@@ -692,15 +693,15 @@ S["heal_answers"] = f"SELECT page_id, 'e9' AS aid, NULL AS container_aid, false
 
 # ---- jobs ----------------------------------------------------------------
 
-S["pages_routed"] = f"""SELECT page_id, CASE k WHEN 0 THEN 'list' ELSE 'detail' END AS flow FROM ({O})
-WHERE (k = 0 AND page_id % 8 <> 0) OR (k IN (1, 2) AND page_id % 3 <> 0)"""
+S["pages_routed"] = f"""SELECT page_id, CASE k WHEN 0 THEN 'list' ELSE 'detail' END AS flow FROM ({O}) WHERE k < 3"""
 S["templates_built"] = """SELECT CAST(o_orderkey AS VARCHAR) AS template_id, field, xpath, confidence FROM orders,
   (VALUES ('title', './/h1[@data-testid=''order-title'']', 0.98), ('price', '//body/div/span[1]', 0.3)) v(field, xpath, confidence) WHERE o_orderkey % 200 = 0"""
 S["archive_records"] = f"""SELECT {LIST_BASE} + o_orderkey // 200 * 10 AS seed, 'shop' || (o_orderkey // 200 % 7) || '.example.com' AS host, o_orderkey AS page_id,
   'Order ' || o_orderkey AS title, {PRICE_TEXT} AS price FROM orders"""
 S["archive_export_host"] = f"""SELECT {LIST_BASE} + o_orderkey // 200 * 10 AS seed, 'shop' || (o_orderkey // 200 % 7) || '.example.com' AS host, count(*) AS n_records FROM orders GROUP BY 1, 2"""
-S["detail_trail"] = """SELECT o_orderkey AS page_id, 'start' AS source, 'Order ' || o_orderkey AS title FROM orders WHERE o_orderkey % 50 = 7
-UNION ALL SELECT o_orderkey - 1, 'followed', 'Order ' || (o_orderkey - 1) FROM orders WHERE o_orderkey % 50 = 7 AND o_orderkey // 200 = (o_orderkey - 1) // 200"""
+S["detail_trail"] = """SELECT o_orderkey AS page_id, 'start' AS source, 'Order ' || o_orderkey AS title FROM orders
+UNION ALL SELECT o_orderkey - 1, 'followed', 'Order ' || (o_orderkey - 1) FROM orders
+WHERE o_orderkey // 200 = (o_orderkey - 1) // 200 AND o_orderkey - 1 IN (SELECT o_orderkey FROM orders)"""
 S["templates_reanalysed"] = """SELECT CAST(o_orderkey AS VARCHAR) AS template_id, o_orderkey // 200 % 6 = 0 AS replaced, 2 AS n FROM orders WHERE o_orderkey % 200 = 0"""
 
 

@@ -133,9 +133,10 @@ def dom(spark, d):
 
 @query
 def element_table(spark, d):
-    e = shred.elements(dom(spark, d))
+    above = lambda n: F.reverse(shred.nearest_ancestors(n["pre"], n["depth"])).cast("array<bigint>")
+    e = shred.elements(dom(spark, d).withColumn("nodes", F.transform("nodes", lambda n: n.withField("anc", above(n)))))
     ints = ["pre", "last", "parent", "depth", "sib_pos", "tag_pos", "tag_n"]
-    return e.select("page_id", *[big(c) for c in ints], "tag", "cls", F.md5("text").alias("text_digest"), F.col("anc").cast("array<bigint>").alias("anc"))
+    return e.select("page_id", *[big(c) for c in ints], "tag", "cls", F.md5("text").alias("text_digest"), "anc")
 
 
 @query
@@ -231,7 +232,9 @@ def pages_cleaned(spark, d):
 @query
 def aid_resolved(spark, d):
     e = shred.elements(dom(spark, d))
-    refs = read(spark, d, "pages").select("page_id", F.explode(F.array(F.lit("e3"), F.lit("e20"), F.lit("e99"))).alias("aid"))
+    # every second number up to twice the elements of a page, so half of the references name nothing
+    sizes = dom(spark, d).select("page_id", F.size("nodes").alias("n"))
+    refs = sizes.select("page_id", F.explode(F.transform(F.sequence(F.lit(0), 2 * F.col("n"), F.lit(2)), lambda i: F.concat(F.lit("e"), i))).alias("aid"))
     return clean.resolve_aid(refs, e).select("page_id", "aid", "tag", big("pre"))
 
 
@@ -248,14 +251,7 @@ def text_contents(spark, d):
 
 @query
 def similar_siblings(spark, d):
-    e = shred.elements(shred.shred_html(list_pages(spark, d)))
-    first = e.filter("tag = 'li' AND tag_pos IN (1, 8)")
-    return clean.similar_siblings(first, e).select("page_id", big("pre"), big("sib_pre"))
-
-
-@query
-def similar_siblings_all(spark, d):
-    """Siblings of every element, not of two cards a list."""
+    """Siblings of every element."""
     e = shred.elements(shred.shred_html(list_pages(spark, d)))
     return clean.similar_siblings(e, e).select("page_id", big("pre"), big("sib_pre"))
 
@@ -317,25 +313,18 @@ def single_attributes(spark, d):
 
 @query
 def attribute_stability(spark, d):
-    c = stability.classify_attributes(shred.elements(shop_lists(spark, d)))
+    c = stability.classify_attributes(shop_lists(spark, d))
     return c.select("page_id", big("pre"), "attr", "value", "classification")
 
 
 @query
 def class_token_stability(spark, d):
-    c = stability.classify_class_tokens(shred.elements(shop_lists(spark, d)))
+    c = stability.classify_class_tokens(shop_lists(spark, d))
     return c.select("page_id", big("pre"), big("pos"), "token", "classification")
 
 
 @query
 def sibling_attribute_values(spark, d):
-    e = shred.elements(shop_lists(spark, d))
-    v = stability.sibling_attr_values(e, e.filter("tag = 'li' AND tag_pos = 1"), "data-kind")
-    return v.groupBy("page_id", "value").agg(F.count("*").alias("n"))
-
-
-@query
-def sibling_attribute_values_all(spark, d):
     """Values over the siblings of every element that has the attribute."""
     e = shred.elements(shop_lists(spark, d))
     v = stability.sibling_attr_values(e, e.filter(F.array_contains(F.map_keys("attrs"), "data-kind")), "data-kind")
@@ -344,13 +333,6 @@ def sibling_attribute_values_all(spark, d):
 
 @query
 def ancestor_chains(spark, d):
-    e = dom(spark, d)
-    a = stability.ancestor_chain(e, shred.elements(e).filter("tag = 'a'"), 3)
-    return a.select("page_id", big("pre"), F.transform("ancestors", lambda x: x["tag"]).alias("tags"))
-
-
-@query
-def ancestor_chains_all(spark, d):
     """All ten levels, of every element."""
     e = dom(spark, d)
     a = stability.ancestor_chain(e, shred.elements(e))
@@ -373,12 +355,6 @@ def element_profiles(spark, d):
 
 @query
 def element_contexts(spark, d):
-    dm = shop_orders(spark, d)
-    return stability.dom_context(dm, shred.elements(dm).filter("tag = 'h1'")).select("page_id", big("pre"), "context")
-
-
-@query
-def element_contexts_all(spark, d):
     """Surroundings of every element."""
     dm = shop_orders(spark, d)
     return stability.dom_context(dm, shred.elements(dm)).select("page_id", big("pre"), "context")
@@ -817,13 +793,6 @@ def first_new_candidate(spark, d):
 @query
 def progress_flags(spark, d):
     """Re-fetch series: pages in blocks of five play the visits to one address."""
-    s = tokens.page_fingerprint(read(spark, d, "pages")).selectExpr("page_id DIV 5 AS chain", "page_id AS round", "'same' AS url", "substring(fingerprint, 1, 1) AS fingerprint", "anchor_count")
-    return paginate.has_progress(s, ["chain"]).select("chain", "round", "progress")
-
-
-@query
-def progress_flags_all(spark, d):
-    """As ``progress_flags``, with whole fingerprints."""
     s = tokens.page_fingerprint(read(spark, d, "pages")).selectExpr("page_id DIV 5 AS chain", "page_id AS round", "'same' AS url", "fingerprint", "anchor_count")
     return paginate.has_progress(s, ["chain"]).select("chain", "round", "progress")
 
@@ -894,14 +863,6 @@ def history_after_reset(spark, d):
 
 @query
 def similar_names(spark, d):
-    p = read(spark, d, "part")
-    b = F.concat(F.substring("p_name", 1, 3), F.lower(F.substring("p_type", 1, 5)))
-    return p.select("p_partkey", tx.is_similar(F.col("p_name"), b).alias("a"), tx.is_similar(F.col("p_brand"), F.concat(F.lit("Brand"), F.col("p_size"))).alias("b"))
-
-
-@query
-def similar_names_all(spark, d):
-    """As ``similar_names``, with whole names and types."""
     p = read(spark, d, "part")
     return p.select("p_partkey", tx.is_similar(F.col("p_name"), F.lower("p_type")).alias("a"), tx.is_similar(F.col("p_brand"), F.concat(F.lit("Brand"), F.col("p_size"))).alias("b"))
 
@@ -1023,8 +984,8 @@ def prompts_built(spark, d):
 
 @query
 def fences_stripped(spark, d):
-    a = answers(spark, d).filter("prompt_kind = 'page_type' AND attempt = 0")
-    return a.select("page_id", responses.strip_fences(F.col("content")).alias("content"))
+    a = answers(spark, d)
+    return a.select("page_id", "prompt_kind", big("attempt"), responses.strip_fences(F.col("content")).alias("content"))
 
 
 @query
@@ -1070,15 +1031,6 @@ def heal_answers(spark, d):
 
 @query
 def pages_routed(spark, d):
-    a, e = answers(spark, d), order_elements(spark, d)
-    t = responses.pick_detection(responses.parse_page_type(a))
-    _, c = responses.parse_list_response(a.filter("page_id % 8 <> 0"), e)
-    f = responses.parse_fields(a.filter("page_id % 3 <> 0"), e)
-    return jobs.route_pages(t, c, f)
-
-
-@query
-def pages_routed_all(spark, d):
     """Routes from all answers."""
     a, e = answers(spark, d), order_elements(spark, d)
     t = responses.pick_detection(responses.parse_page_type(a))
@@ -1130,15 +1082,6 @@ def archive_export_host(spark, d):
 
 @query
 def detail_trail(spark, d):
-    p = order_pages(spark, d)
-    starts = p.filter("page_id % 50 = 7").select("page_id", F.lit("order").alias("template_id"))
-    s = shop_selectors(spark).filter("template_id = 'order'")
-    r = jobs.detail_job(p, shred.shred_html(p), starts, s)
-    return r.select("page_id", "source", F.try_element_at("data", F.lit("title")).alias("title"))
-
-
-@query
-def detail_trail_all(spark, d):
     """Trails from every order page."""
     p = order_pages(spark, d)
     starts = p.select("page_id", F.lit("order").alias("template_id"))

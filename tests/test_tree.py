@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webcorpus.operators import clean, extract, induce, links, selectors, shred, stability
+from webcorpus.operators import clean, extract, induce, intervals, links, selectors, shred, siblings, stability
 
 TAGS = ["div", "p", "b", "ul", "li", "table", "tr", "td", "br", "script"]
 
@@ -14,9 +14,9 @@ TAGS = ["div", "p", "b", "ul", "li", "table", "tr", "td", "br", "script"]
 def test_intervals_nest(parts):
     nodes, texts, _ = shred.shred_page("".join(parts))
     for n in nodes:
-        assert n["pre"] <= n["last"] and n["anc"] == sorted(n["anc"])
-        for a in n["anc"]:
-            assert nodes[a]["pre"] < n["pre"] <= n["last"] <= nodes[a]["last"]
+        assert n["parent"] < n["pre"] <= n["last"]
+        if n["parent"] >= 0:
+            assert n["last"] <= nodes[n["parent"]]["last"] and n["depth"] == nodes[n["parent"]]["depth"] + 1
         assert 0 <= n["c0"] <= n["c1"] <= sum(len(t["text"]) for t in texts)
 
 
@@ -50,7 +50,7 @@ def cards():
 
 
 def test_stability_labels(pages):
-    e = shred.elements(shred.shred_html(pages(cards())))
+    e = shred.shred_html(pages(cards()))
     got = {r.attr: r.classification for r in stability.classify_attributes(e).filter("pre = 3").collect()}
     assert got == {"class": "random", "data-sku": "business", "data-kind": "business_category", "data-tier": "random",
                    "data-unit": "stable", "data-testid": "stable", "jsname": "random"}
@@ -66,14 +66,65 @@ def brute_totals(rows):
     return out
 
 
-def test_factored_siblings_equal_pairs(pages):
+def test_sibling_counts_equal_pairs(spark, pages):
     rng = random.Random(3)
-    items = "".join("<li" + (f' class="{" ".join(rng.sample("abcdefg", rng.randint(1, 3)))} u{i}"' if rng.random() < 0.8 else "") + ">" for i in range(40))
-    e = shred.elements(shred.shred_html(pages("<ul>" + items + "</ul>"))).filter("tag = 'li'")
-    sets, totals, _, _ = stability.sibling_stats(e)
-    got = {(r.page_id, r.pre): r.total for r in sets.join(totals, ["page_id", "set_id"], "left").collect()}
-    rows = [(r.page_id, r.pre, r.parent, r.tag, (r.cls or "").split()) for r in e.select("page_id", "pre", "parent", "tag", "cls").collect()]
-    assert {k: v or 1 for k, v in got.items()} == brute_totals(rows)
+    item = lambda i, names, most: "<li" + (f' class="{" ".join(rng.sample(names, rng.randint(1, most)))} u{i}"' if rng.random() < 0.8 else "") + f" data-k='{i % 3}'" * (i % 4 > 0) + ">"
+    lists = ["".join(item(i, names, most) for i in range(40)) for names, most in (("abcdefg", 3), ("ab", 2), ("a", 1))]
+    dom = shred.shred_html(pages(*["<ul>" + x + "</ul>" for x in lists], "<p class=' '>", ""))
+    e = shred.elements(dom).select("page_id", "pre", "parent", "tag", "cls", "attrs").collect()
+    rows = [(r.page_id, r.pre, r.parent, r.tag, (r.cls or "").split()) for r in e]
+    attrs = {(r.page_id, r.pre): r.attrs for r in e}
+    totals = brute_totals(rows)
+
+    def near(page, pre):
+        _, _, parent, tag, toks = next(r for r in rows if r[:2] == (page, pre))
+        return [q for p, q, par, t, o in rows if parent >= 0 and (p, par, t) == (page, parent, tag) and (set(toks) & set(o) or (not toks and not o))]
+
+    for r in siblings.sibling_counts(dom, "attributes").collect():
+        like = [attrs[r.page_id, q] for q in near(r.page_id, r.pre)]
+        values = [a[r.attr] for a in like if r.attr in a]
+        if len(like) > 1:
+            assert (r.total, r.present, r.n_values, r.has_blank) == (totals[r.page_id, r.pre], len(values), len(set(values)), "" in values)
+        else:
+            assert r.total == 0
+    got = siblings.sibling_counts(dom, "tokens").collect()
+    assert len(got) == sum(len(r[4]) for r in rows)
+    tokens = {r[:2]: r[4] for r in rows}
+    for r in got:
+        like = near(r.page_id, r.pre)
+        assert (r.total, r.freq) == ((len(like), sum(r.token in tokens[r.page_id, q] for q in like)) if len(like) > 1 else (0, 0))
+    ctx = spark.createDataFrame([(0, 5, 3), (0, 6, -1), (0, 7, 9_999)], "page_id long, pre int, ctx_pre int")
+    some = {(r.pre, r.attr): r.total for r in siblings.sibling_counts(dom, "attributes", ctx).collect()}
+    assert some == {(p, a): totals[0, 3] if p == 5 and totals[0, 3] > 1 else 0 for p in (5, 6, 7) for a in attrs[0, p]}
+
+
+def test_deep_pages_take_linear_space(pages):
+    depth = 60_000
+    html = "<div>" * depth + "x" + "</div>" * depth
+    dom = shred.shred_html(pages(html, "<div><p><b></b></p><i>a</i></div>")).cache()
+    last = dom.select("page_id", F.size("nodes").alias("n"), F.get("nodes", F.lit(7))["depth"].alias("d")).collect()
+    assert {r.page_id: (r.n, r.d) for r in last} == {0: (depth, 7), 1: (4, None)}
+    left = clean.drop_empty(dom).select("page_id", "alive").collect()
+    assert {r.page_id: len(r.alive) for r in left} == {0: depth, 1: 2}
+    gone = clean.drop_empty(shred.shred_html(pages("<p>a</p>" + html.replace("x", "")))).select("alive", "talive").first()
+    assert (gone.alive, gone.talive) == ([0], [0])
+
+
+def test_intervals_equal_ancestors(spark):
+    rng = random.Random(6)
+    rows = []
+    for page in range(60):
+        parent = [-1] + [rng.randint(-1, i - 1) for i in range(1, rng.randint(1, 30))]
+        up = lambda i: [] if i < 0 else [i, *up(parent[i])]  # noqa: B023
+        order = sorted(range(len(parent)), key=lambda i: up(i)[::-1])
+        number = {old: new for new, old in enumerate(order)}
+        above = {number[i]: {number[a] for a in up(i)} for i in range(len(parent))}
+        last = [max(j for j in above if i in above[j]) for i in range(len(parent))]
+        marked = [rng.randrange(len(parent)) for _ in range(rng.randint(0, 6))]
+        rows.append((page, last, marked, sorted(set().union(*[above[m] for m in marked])), sorted(m for m in set(marked) if not any(a in above[m] - {m} for a in marked))))
+    df = spark.createDataFrame(rows, "page int, last array<int>, marked array<int>, h array<int>, o array<int>")
+    for r in df.select("h", "o", intervals.holding("last", "marked").alias("x"), intervals.outermost("last", "marked").alias("y")).collect():
+        assert (r.x, r.y) == (r.h, r.o)
 
 
 def test_choose_promotes_valid_fallback(spark, pages):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions.text import normalize_text, strip_text
+from webcorpus.operators.intervals import holding, outermost
 from webcorpus.operators.shred import VOID as _VOID
 from webcorpus.operators.shred import class_tokens, shred_html
 
@@ -155,9 +156,8 @@ def drop_empty(dom: DataFrame, keep_tails: bool = False) -> DataFrame:
     owners = F.filter(F.transform(has_text, lambda t: _text(t)["parent"]), lambda p: p >= 0)
     kept_tags = F.filter("alive", lambda p: _node(p)["tag"].isin(*KEEP_EMPTY) | ~_removable(_node(p)))
     dom = dom.withColumn("_why", F.array_distinct(F.concat(owners, kept_tags)))
-    closure = F.flatten(F.transform("_why", lambda p: F.array_append(_node(p)["anc"], p)))
-    dom = dom.withColumn("_gone", F.array_except("alive", closure))
-    _, gone_texts = _drop_sets(F.col("_gone"), keep_tails)
+    dom = dom.withColumn("_gone", F.array_except("alive", holding(F.col("nodes.last"), "_why")))
+    _, gone_texts = _drop_sets(outermost(F.col("nodes.last"), "_gone"), keep_tails)
     return dom.withColumns(
         {"alive": F.array_except("alive", "_gone"), "talive": F.array_except("talive", gone_texts)}
     ).drop("_why", "_gone")

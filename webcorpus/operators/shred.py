@@ -3,8 +3,8 @@
 ``shred_html`` is the only Python table function of the package: one pass over
 a page's tokens with a stack of open elements. Its output is one row per page
 with nested arrays, so a page never has to be regrouped. Elements are numbered
-in document order and carry the interval ``pre..last`` of their subtree and the
-array ``anc`` of their ancestors, which turns descendant tests into equi-joins.
+in document order and carry their parent and the interval ``pre..last`` of their
+subtree, so a page takes space in proportion to its markup, however deep it nests.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as html_std
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,7 +68,7 @@ NODE = pa.struct(
      ("pre", "last", "parent", "depth", "ord", "sib_pos", "tag_pos", "tag_n",
       "t_lo", "t_hi", "head", "first", "tail", "c0", "c1")]
     + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-       ("attr_names", pa.list_(pa.string())), ("anc", pa.list_(pa.int32()))]
+       ("attr_names", pa.list_(pa.string()))]
 )
 TEXT = pa.struct([("tord", pa.int32()), ("parent", pa.int32()), ("after", pa.int32()),
                   ("after_comment", pa.bool_()), ("seen", pa.int32()), ("text", pa.string())])
@@ -76,7 +77,7 @@ COMMENT = pa.struct([("parent", pa.int32()), ("ord", pa.int32()), ("tail", pa.in
 NODE_DDL = (
     "pre INT, last INT, parent INT, depth INT, ord INT, sib_pos INT, tag_pos INT, tag_n INT, "
     "t_lo INT, t_hi INT, head INT, first INT, tail INT, c0 INT, c1 INT, tag STRING, "
-    "attrs MAP<STRING,STRING>, attr_names ARRAY<STRING>, anc ARRAY<INT>"
+    "attrs MAP<STRING,STRING>, attr_names ARRAY<STRING>"
 )
 DOM_DDL = (
     "page_id BIGINT, url STRING, text STRING, "
@@ -127,10 +128,13 @@ def shred_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
     stack: list[int] = []
     n_child: dict[int, int] = {}
     prev: dict[int, tuple[int, bool]] = {}  # parent -> (previous element, comment since then)
+    # how many elements of a tag are open: the stack is searched only for what it holds
+    n_open: Counter[str] = Counter()
 
     def close(height: int) -> None:
         while len(stack) > height:
             node = nodes[stack.pop()]
+            n_open[node["tag"]] -= 1
             node["last"], node["t_hi"] = len(nodes) - 1, len(texts)
 
     def child(parent: int) -> int:
@@ -159,9 +163,9 @@ def shred_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
             nodes[after]["tail"] = len(texts) - 1
 
     def open_tag(name: str, raw: str) -> int:
-        if name in CLOSES_P:
+        if name in CLOSES_P and n_open["p"]:
             close(_pop_to(stack, tags, {"p"}, P_BARRIER))
-        if name in IMPLIED_END:
+        if name in IMPLIED_END and any(n_open[t] for t in IMPLIED_END[name][0]):
             close(_pop_to(stack, tags, *IMPLIED_END[name]))
         parent = stack[-1] if stack else -1
         pre = len(nodes)
@@ -169,7 +173,7 @@ def shred_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
         nodes.append({
             "pre": pre, "last": pre, "parent": parent, "depth": len(stack), "ord": child(parent),
             "t_lo": len(texts), "t_hi": len(texts), "head": -1, "first": -1, "tail": -1, "tag": name,
-            "attrs": attrs, "attr_names": list(attrs), "anc": list(stack),
+            "attrs": attrs, "attr_names": list(attrs),
         })
         tags.append(name)
         prev[parent] = (pre, False)
@@ -180,16 +184,19 @@ def shred_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
             add_text(decode(m["text"]))
         elif m["raw"] is not None:
             stack.append(open_tag(m["raw"].lower(), m["rattrs"]))
+            n_open[m["raw"].lower()] += 1
             add_text(m["body"])
             close(len(stack) - 1)
         elif m["tag"] is not None:
             name = m["tag"].lower()
             if m["end"]:
-                close(_end_height(stack, tags, name))
+                if n_open[name]:
+                    close(_end_height(stack, tags, name))
             else:
                 pre = open_tag(name, m["attrs"])
                 if name not in VOID:
                     stack.append(pre)
+                    n_open[name] += 1
         elif m[0].startswith("<!--"):
             parent = stack[-1] if stack else -1
             comments.append({"parent": parent, "ord": child(parent), "tail": -1})
@@ -254,6 +261,14 @@ def subtree_text(page_text: Column, c0: Column, c1: Column) -> Column:
     return F.substring(page_text, c0 + 1, c1 - c0)
 
 
+def nearest_ancestors(pre: Column, levels: int | Column) -> Column:
+    """Numbers of at most ``levels`` ancestors of an element of ``nodes``, the nearest first."""
+    nodes = F.col("nodes")
+    steps = F.least(F.get(nodes, pre)["depth"], F.lit(levels) if isinstance(levels, int) else levels)
+    up = lambda found, _: F.array_append(found, F.get(nodes, F.coalesce(F.try_element_at(found, F.lit(-1)), pre))["parent"])
+    return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), steps), F.array().cast("array<int>"), up)).otherwise(F.array().cast("array<int>"))
+
+
 def elements(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per element. ``text`` is cut from the page text only where it is used."""
     others = [c for c in (keep or []) if c not in ("page_id", "url")]
