@@ -40,3 +40,10 @@ def test_edges_and_other_columns(docs, edge_rows):
 def test_repeated_rows_keep_their_lines(docs):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb\nc\ny")]
     assert sorted((r.doc_id, r.text) for r in dedup_lines(docs(rows)).collect()) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\ny")]
+
+
+def test_a_text_of_100_000_lines(docs):
+    """Work is in proportion to the lines; the second half repeats the first."""
+    half = [f"line {i}" for i in range(50_000)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs([(1, "\n".join(half + half + ["end"])), (2, "a\n" + "\n".join(half[7:12]) + "\nb")])).collect()}
+    assert got == {1: "\n".join([*half, "end"]), 2: "a\nb"}

@@ -12,29 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.llm.common import numbered, restored, row_key
+from webcorpus.functions.text import let
+from webcorpus.llm.common import numbered, restored, row_key, stage
 
 WINDOW_LINES = 3
 
 
 def _windows(text: Column, size: int) -> Column:
-    """128-bit hashes of all windows in order; none for fewer lines than a window has."""
-    lines = F.split(text, "\n", -1)
-    last = F.size(lines) - size + 1
-    hashes = F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice(lines, i, size)).cast("binary")))
-    )
-    return F.when(last >= 1, hashes).otherwise(F.array().cast("array<binary>"))
+    """128-bit hashes of all windows in order; none for fewer lines than a window has.
+
+    A line is hashed once; a window's hash is that of its lines' hashes.
+    """
+    halves = lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7919), line).alias("b"))
+
+    def hashed(lines: Column) -> Column:
+        last = F.size(lines) - size
+        at = lambda i, half: [F.get(lines, i + k)[half] for k in range(size)]
+        window = lambda i: F.struct(F.xxhash64(*at(i, "a")).alias("a"), F.xxhash64(*at(i, "b")).alias("b"))
+        none = F.array().cast("array<struct<a: bigint, b: bigint>>")
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(none)
+
+    return let(F.transform(F.split(text, "\n", -1), halves), hashed)
 
 
 def repeated_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     """Rows (_k1, _k2, covered): 0-based numbers of the lines to remove of every text that loses some.
 
-    Occurrences of a window are counted with map-side sums; the join back to the
-    occurrences is an inner join of which Spark splits hot keys. Rows that agree
+    Places and hashes of all windows are written once. Occurrences of a window are
+    counted with map-side sums; the join back to the occurrences is an inner join of which Spark splits hot keys. Rows that agree
     in doc_id and text are one occurrence.
     """
-    found = docs.select("doc_id", *row_key("doc_id", "text"), F.posexplode(_windows(F.col("text"), size)).alias("pos", "w"))
+    found = stage(docs.select("doc_id", *row_key("doc_id", "text"), F.posexplode(_windows(F.col("text"), size)).alias("pos", "w")))
     place = F.struct("doc_id", "_k1", "_k2", "pos")
     firsts = found.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     later = found.join(firsts.select("w", "first"), "w").where(place != F.col("first"))
@@ -56,7 +64,9 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     covered = repeated_lines(inner.select("doc_id", "text"), size)
     keyed = inner.select("*", *row_key("doc_id", "text"))
     joined = keyed.join(covered, ["_k1", "_k2"], "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    kept = F.transform(stay, lambda i: lines[i])
+    # the split is bound once; inside the lambda it would be made again for every line
+    kept = let(
+        F.split("text", "\n", -1),
+        lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered")), lambda i: F.get(lines, i)),
+    )
     return restored(joined, columns, text=F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
