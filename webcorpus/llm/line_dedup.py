@@ -39,10 +39,12 @@ def repeated_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     """Rows (_k1, _k2, covered): 0-based numbers of the lines to remove of every text that loses some.
 
     Places and hashes of all windows are written once. Occurrences of a window are
-    counted with map-side sums; the join back to the occurrences is an inner join of which Spark splits hot keys. Rows that agree
-    in doc_id and text are one occurrence.
+    counted with map-side sums; the join back to the occurrences is an inner join
+    of which Spark splits hot keys. Rows that agree in doc_id and text are one occurrence.
     """
-    found = stage(docs.select("doc_id", *row_key("doc_id", "text"), F.posexplode(_windows(F.col("text"), size)).alias("pos", "w")))
+    # keys are made before the windows are spread: afterwards they would be hashed again for every window
+    keyed = docs.select("doc_id", *row_key("doc_id", "text"), _windows(F.col("text"), size).alias("_windows"))
+    found = stage(keyed.select("doc_id", "_k1", "_k2", F.posexplode("_windows").alias("pos", "w")))
     place = F.struct("doc_id", "_k1", "_k2", "pos")
     firsts = found.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     later = found.join(firsts.select("w", "first"), "w").where(place != F.col("first"))
