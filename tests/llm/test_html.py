@@ -79,3 +79,8 @@ def test_table(spark, tree):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got if r.page_id in (2, 3)} == {2: "", 3: ""}
     assert extract_main_text(pages.limit(0), tree).count() == 0
+
+
+def test_letters_that_grow_in_lower_case_move_nothing():
+    page = "İ" * 40 + "<SCRIPT>x=1</SCRIPT><p>First</p><style>p{}</STYLE><p>Second paragraph here.</p>"
+    assert [b.text for b in text_blocks(page)] == ["İ" * 40, "First", "Second paragraph here."]

@@ -1,6 +1,6 @@
 import random
 
-from webcorpus.llm.langid import _agreed, dictionaries, identify
+from webcorpus.llm.langid import _agreed, dictionaries, identify, letters
 
 SOUNDS = {"aa": ["ka", "lo", "mi", "tu", "ra"], "bb": ["sch", "ung", "ein", "ver", "pfl"]}
 
@@ -55,3 +55,15 @@ def test_edges(spark, docs, edge_rows):
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {None, 1, 2, 3, 11}
     same = [r.lang_pred for r in got if r.doc_id == 5]
     assert same == ["aa", "aa"] and identify(docs([]), {"aa": b"a"}).count() == 0
+
+
+def test_letters_are_what_unicode_calls_letters():
+    for text in ["½ ² Ⅷ ５ 7 _ ①", "x²½y Été 中文一 Ⅷ", "", "İstanbul 3ª"]:
+        want = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        assert letters(text).decode() == " ".join(want)
+
+
+def test_texts_of_number_signs_have_no_language(spark, docs):
+    content = {"aa": b"ka lo mi" * 50, "bb": b"sch ung ein" * 50}
+    got = {r.doc_id: r.lang_pred for r in identify(docs([(1, "½ ² Ⅷ"), (2, "ka lo mi")]), content).collect()}
+    assert got == {1: "und", 2: "aa"}

@@ -84,6 +84,14 @@ class _Mark(NamedTuple):
     around: int
 
 
+def _same_places(page: str) -> str:
+    """The page in lower case, every character where it was; one that becomes several (U+0130) stays."""
+    lower = page.lower()
+    if len(lower) == len(page):
+        return lower
+    return "".join([low if len(low := c.lower()) == 1 else c for c in page])
+
+
 def _attributes(raw: str) -> dict[str, str]:
     found = {}
     for name, value in _ATTR.findall(raw):
@@ -180,7 +188,7 @@ def text_blocks(page: str) -> list[Block]:
                     return 0
         return 0
 
-    at, size, lower = 0, len(page), page.lower()
+    at, size, lower = 0, len(page), _same_places(page)
     while at < size:
         left = page.find("<", at)
         if left < 0:

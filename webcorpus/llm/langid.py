@@ -29,7 +29,9 @@ MIN_MARGIN = 0.005
 LEVEL = 6
 
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: What Python counts as part of a word without being a letter or a digit: fractions, raised digits, number letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str) -> bytes:
