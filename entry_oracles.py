@@ -462,9 +462,9 @@ S["selectors_by_position"] = DOM + """,
 lv AS (SELECT page_id, pre, depth, parent, CASE WHEN tag_n > 1 AND parent >= 0 THEN tag || '[' || tag_pos || ']' ELSE tag END AS x FROM el)
 SELECT a.page_id, a.pre, '//' || coalesce(c.x || '/', '') || coalesce(b.x || '/', '') || a.x AS xpath
 FROM lv a LEFT JOIN lv b ON b.page_id = a.page_id AND b.pre = a.parent LEFT JOIN lv c ON c.page_id = b.page_id AND c.pre = b.parent"""
-S["selectors_of_containers"] = """
-SELECT n + 10000000000 AS page_id, field, CASE WHEN field = 'ul' THEN '//ul/li' ELSE '//li[contains(@class, ''card'')]' END AS xpath, k AS n
-FROM (SELECT o_orderkey // 20 AS n, count(*) AS k FROM orders GROUP BY 1), (VALUES ('ul'), ('li'), ('li')) v(field)"""
+S["selectors_of_containers"] = """WITH c AS (SELECT o_orderkey // 20 AS list, count(*) AS k FROM orders GROUP BY 1)
+SELECT list + 10000000000 AS page_id, 'ul' AS field, '//ul/li' AS xpath, k AS n FROM c
+UNION ALL SELECT list + 10000000000, 'li', '//li[contains(@class, ''card'')]', k FROM c JOIN orders ON o_orderkey // 20 = list"""
 S["selector_strings"] = ANCHORS + """,
 s AS (SELECT page_id, ord, ord % 4 AS k, CASE ord % 4 WHEN 0 THEN '//a/text()' WHEN 1 THEN '//a[@href]/@title' WHEN 2 THEN '//a[@href]'
   ELSE '//a[@href=''' || href || ''']' END AS s FROM a)

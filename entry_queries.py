@@ -439,7 +439,7 @@ def selectors_by_position(spark, d):
 @query
 def selectors_of_containers(spark, d):
     dm = shop_lists(spark, d)
-    t = targets_of(dm, "(tag = 'li' AND tag_pos IN (1, 5)) OR tag = 'ul'")
+    t = targets_of(dm, "tag IN ('li', 'ul')")
     p = stability.classify_elements(dm, shred.elements(dm), t)
     return induce.container_selectors(dm, t, p).select("page_id", "field", "xpath", big("n"))
 
