@@ -149,6 +149,16 @@ class OrderedMonitor(FieldMonitor):
         yield self.step(key, pd.DataFrame([r[:3] for r in due], columns=["seq", "value", "event"]))
 
 
+def monitor_stream(observations: DataFrame) -> DataFrame:
+    """Observations (template_id, field, seq, value, event) to one flagged row each, in order of arrival.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    return observations.groupBy("template_id", "field").transformWithStateInPandas(
+        statefulProcessor=FieldMonitor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+    )
+
+
 def batch_state(history: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """What a monitor would hold after ``history`` (template_id, field, seq, value, at): its initial state.
 
