@@ -153,3 +153,25 @@ def test_read_and_write(spark):
     q = tables.stream_pages(spark, f"{root}/p").writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("streamed").count() == 1
+
+
+def test_sides_made_of_pages_are_not_broadcast_by_estimate(spark, tmp_path):
+    """The table is small and so are Spark's estimates of what is made of it; its elements need not be."""
+    import entry_queries
+
+    sql = "id * 7 AS o_orderkey, 5D AS o_totalprice, 'O' AS o_orderstatus, '1-URGENT' AS o_orderpriority, 3 AS o_custkey"
+    spark.range(40).selectExpr(*sql.split(", ")).write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("fields_parsed", "list_headers", "similar_siblings", "selectors_validated", "element_contexts"):
+        plan = entry_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "BroadcastExchange" not in plan, name
+
+
+def test_join_small_measures_what_spark_estimates_too_low(spark, monkeypatch, tmp_path):
+    from webcorpus import session
+
+    spark.range(3).write.parquet(str(tmp_path / "few"))
+    small = spark.read.parquet(str(tmp_path / "few")).select("id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("x"))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
+    joined = session.join_small(spark.range(5).toDF("id"), small, ["id"], "id")
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.groupBy("id").count().orderBy("id").collect() == [(0, 50), (1, 50), (2, 50)]
