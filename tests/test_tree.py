@@ -127,6 +127,11 @@ def test_intervals_equal_ancestors(spark):
         assert (r.x, r.y) == (r.h, r.o)
 
 
+def test_cleaning_keeps_no_page_rows_waiting_for_python(pages):
+    left = clean.drop_empty(shred.shred_html(pages("<p>a</p><p></p>")))
+    assert "EvalPython" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 def test_choose_promotes_valid_fallback(spark, pages):
     dom = shred.shred_html(pages("<html><body><div><span>a</span><span>b</span></div></body></html>")).cache()
     ddl = "page_id long, pre int, field string, extract string, container_pre int, xpath string, fallback_xpath string, confidence double"
