@@ -67,3 +67,13 @@ def test_texts_of_number_signs_have_no_language(spark, docs):
     content = {"aa": b"ka lo mi" * 50, "bb": b"sch ung ein" * 50}
     got = {r.doc_id: r.lang_pred for r in identify(docs([(1, "½ ² Ⅷ"), (2, "ka lo mi")]), content).collect()}
     assert got == {1: "und", 2: "aa"}
+
+
+def test_letters_take_no_time_for_signs_that_are_not_there():
+    import time
+
+    from webcorpus.llm.langid import letters
+
+    text, start = "Grüße an alle Wörter " * 60_000, time.process_time()
+    assert letters(text) == ("grüße an alle wörter " * 60_000).strip().encode()
+    assert time.process_time() - start < 1

@@ -30,13 +30,18 @@ LEVEL = 6
 
 
 #: What Python counts as part of a word without being a letter or a digit: fractions, raised digits, number letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_BLANKED = str.maketrans(dict.fromkeys(_NUMBERS, " "))
+# without the numbers: a class of hundreds of single signs is tried sign by sign at every letter
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> bytes:
     """The words of a text in lower case with single spaces; no signs and digits."""
-    return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    low = text.lower()
+    if not low.isascii() and not _NUMBERS.isdisjoint(low):
+        low = low.translate(_BLANKED)
+    return _NO_LETTERS.sub(" ", low).strip().encode("utf-8", "replace")
 
 
 def dictionaries(texts: DataFrame, size: int = DICTIONARY_BYTES, drawn: int = DRAWN_TEXTS) -> dict[str, bytes]:
