@@ -110,6 +110,12 @@ def test_deep_pages_take_linear_space(pages):
     assert (gone.alive, gone.talive) == ([0], [0])
 
 
+def test_attributes_of_a_batch_are_made_at_once():
+    made = shred._attribute_arrays([{"a": "1", "b": ""}, {}, {"c": "x"}])
+    assert made["attrs"].to_pylist() == [[("a", "1"), ("b", "")], [], [("c", "x")]]
+    assert made["attr_names"].to_pylist() == [["a", "b"], [], ["c"]]
+
+
 def test_intervals_equal_ancestors(spark):
     rng = random.Random(6)
     rows = []
