@@ -131,3 +131,10 @@ def test_routes_and_trails_from_every_page(spark, site):
     follow = [k - 1 for k in keys if k - 1 in keys and k // 200 == (k - 1) // 200]
     want = [(k, "start", f"Order {k}") for k in keys] + [(k, "followed", f"Order {k}") for k in follow]
     assert sorted(rows(spark, site, "detail_trail")) == sorted(want)
+
+
+def test_pages_are_shredded_once(spark, site):
+    """What the elements are read for several times does not shred the pages again."""
+    for name in ("similar_siblings", "sibling_attribute_values", "selectors_by_ancestor", "element_profiles", "detail_trail", "legacy_converted", "export_documents", "link_scores"):
+        plan = QUERIES[name](spark, site)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_shred_batches" not in plan, name
