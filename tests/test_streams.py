@@ -1,6 +1,8 @@
 import os
 import tempfile
+import types
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from webcorpus.operators import health
@@ -93,3 +95,46 @@ def test_idle_keys_are_forgotten(spark):
     out = feed.run(lambda s: monitor.monitor_ordered(s, "1 second", idle_ms=80_000))
     got = {(r.template_id, r.seq): r.flagged for r in out.collect()}
     assert got == {("t", 0): False, ("t", 1): False, ("u", 1): False, ("u", 52): False, ("t", 130): False, ("u", 130): True}
+
+
+class Held:
+    """State and handle of one key outside Spark."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def get(self):
+        return iter(self.rows)
+
+    def exists(self):
+        return False
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+    def update(self, row):
+        self.rows = [row]
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_key_has_one_timer_for_the_rows_of_a_batch():
+    """Every expired timer reads the waiting rows; one for each row made a long wait quadratic."""
+    m = monitor.OrderedMonitor(10**9)
+    m.results, m.samples, m.attempts, m.waiting, m.seen = Held(), Held(), Held(), Held(), Held()
+    m.handle = Held()
+    batch = pd.DataFrame({"seq": range(1000), "value": None, "event": "seen", "at_ms": [1000 + 10 * i for i in range(1000)]})
+    list(m.handleInputRows(("t", "f"), iter([batch[::2], batch[1::2]]), None))
+    assert m.handle.timers == [1000]
+    now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 5999)
+    out = pd.concat(m.handleExpiredTimer(("t", "f"), now, None))
+    assert out["seq"].tolist() == list(range(500)) and len(m.waiting.rows) == 500
+    # the waiting rows have a timer, and the idle key has one
+    assert sorted(m.handle.timers) == [1000, 6000, 5990 + 10**9]

@@ -97,7 +97,8 @@ class FieldMonitor(StatefulProcessor):
 class OrderedMonitor(FieldMonitor):
     """A monitor whose rows wait for the watermark, and whose state goes when a key is idle.
 
-    A 'tick' row only moves the watermark. ``idle_ms`` after the last row of a
+    Every expired timer reads the waiting rows, so a key has one timer for the rows of
+    a batch, not one for each. A 'tick' row only moves the watermark. ``idle_ms`` after the last row of a
     key its results, samples and attempts are cleared.
     """
 
@@ -127,8 +128,8 @@ class OrderedMonitor(FieldMonitor):
             values = [None if pd.isna(v) else v for v in batch["value"]]
             # tuples are typed by position: seq, value, event, at
             self.waiting.appendList(list(zip(batch["seq"].tolist(), values, batch["event"].tolist(), batch["at_ms"].tolist())))
-            for at in sorted(set(batch["at_ms"].tolist())):
-                self.handle.registerTimer(at)
+            # one timer for all rows of the batch: when it expires, the rows that still wait get the next one
+            self.handle.registerTimer(int(batch["at_ms"].min()))
         yield pd.DataFrame([], columns=self.NAMES)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -144,7 +145,11 @@ class OrderedMonitor(FieldMonitor):
             yield pd.DataFrame([], columns=self.NAMES)
             return
         later = [r for r in held if r[3] > now]
-        self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[3] for r in later))
+        else:
+            self.waiting.clear()
         self._touch(max(r[3] for r in due))
         yield self.step(key, pd.DataFrame([r[:3] for r in due], columns=["seq", "value", "event"]))
 
