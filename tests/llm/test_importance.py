@@ -1,11 +1,13 @@
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from webcorpus.llm.common import kth_largest
-from webcorpus.llm.importance import ngrams, ratio_model, score_quality, select_quality
+from webcorpus.llm.importance import BATCH_GRAMS, _batches, _merged, ngrams, ratio_model, score_quality, select_quality
 
 
 def corpus():
@@ -61,6 +63,29 @@ def test_models_grow_with_the_corpus(spark, docs):
     assert sum((i % 3 != 0) != k for i, _, _, k in results[0]) <= 12
 
 
+def test_merging_counts_takes_little_memory():
+    """Counts are merged without copies of what is merged, and leave a task in small batches."""
+    rng = np.random.default_rng(3)
+    parts = []
+    for _ in range(4):
+        grams = np.unique(rng.integers(0, 300_000, 150_000))
+        parts.append((grams, rng.integers(1, 9, len(grams)), rng.integers(0, 2, len(grams))))
+    want = {}
+    for grams, raw, target in parts:
+        for g, r, t in zip(grams.tolist(), raw.tolist(), target.tolist()):
+            a, b = want.get(g, (0, 0))
+            want[g] = a + r, b + t
+    n = sum(len(p[0]) for p in parts)
+    tracemalloc.start()
+    merged = _merged(parts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(merged[0].tolist(), zip(merged[1].tolist(), merged[2].tolist()))) == want
+    assert not parts and most <= 60 * n
+    batches = list(_batches(True, *merged))
+    assert max(b.num_rows for b in batches) <= BATCH_GRAMS and sum(b.num_rows for b in batches) == len(want)
+
+
 def test_edges(spark, docs, edge_rows):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (empty, spark.createDataFrame([(5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")):

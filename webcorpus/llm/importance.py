@@ -30,6 +30,8 @@ from webcorpus.llm.wordhash import TOKENS, flat, mix, shingle_hashes, slices, wo
 HOT_GRAMS = 1 << 22
 #: N-grams that a counting task holds before it merges them and hands them on.
 HELD_GRAMS = 1 << 21
+#: N-grams that a counting task hands on at once: a batch stands in Python's and in the JVM's memory.
+BATCH_GRAMS = 1 << 16
 #: The pair of any word with itself.
 SELF_PAIR = np.int64(0x51ED270B7F4A7C15)
 #: Labelled documents, drawn by the hash of their ids, that models and calibration see. Broadcast, so bounded.
@@ -44,6 +46,8 @@ FOREIGN = -1.0
 TEMPERATURE = 0.1
 
 FEATURES = 5
+#: Columns of counted n-grams.
+ENTRY = ["h", "pair", "raw", "target"]
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +79,22 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """One entry (hash, raw, target) for each hash."""
+    """One entry (hash, raw, target) for each hash. Empties ``parts``, so that they are not held beside the joined arrays."""
     grams, raw, target = (np.concatenate(x) for x in zip(*parts))
-    kinds, where = np.unique(grams, return_inverse=True)
-    count = lambda x: np.bincount(where, x, len(kinds)).astype(np.int64)
-    return kinds, count(raw), count(target)
+    parts.clear()
+    order = np.argsort(grams, kind="stable")  # parts are sorted, which makes this a merge
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    grams = grams[first]
+    raw = np.add.reduceat(raw[order], first)
+    return grams, raw, np.add.reduceat(target[order], first)
+
+
+def _batches(pair: bool, grams: np.ndarray, raw: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries of one kind as rows (h, pair, raw, target), a bounded number at once."""
+    for i in range(0, len(grams), BATCH_GRAMS):
+        h, n, good = (pa.array(x[i : i + BATCH_GRAMS]) for x in (grams, raw, target))
+        yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(h), pair)), n, good], ENTRY)
 
 
 def ratio_model(texts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -92,13 +107,6 @@ def ratio_model(texts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
         totals = np.zeros((2, 2), np.int64)
-
-        def rows(pair: int) -> pa.RecordBatch:
-            grams, raw, target = held[pair][0]
-            held[pair].clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), pair == 1)), pa.array(raw), pa.array(target)], names)
-
-        names = ["h", "pair", "raw", "target"]
         for whole in batches:
             for batch in slices(whole, "text"):
                 good = np.equal(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), 1)
@@ -113,12 +121,11 @@ def ratio_model(texts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
                     if sum(len(x[0]) for x in held[pair]) > HELD_GRAMS:
                         held[pair][:] = [_merged(held[pair])]
                         if len(held[pair][0][0]) > HELD_GRAMS // 2:
-                            yield rows(pair)
+                            yield from _batches(pair == 1, *held[pair].pop())
         for pair in (0, 1):
             if held[pair]:
-                held[pair][:] = [_merged(held[pair])]
-                yield rows(pair)
-        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.array([False, True]), pa.array(totals[:, 0]), pa.array(totals[:, 1])], names)
+                yield from _batches(pair == 1, *_merged(held[pair]))
+        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.array([False, True]), pa.array(totals[:, 0]), pa.array(totals[:, 1])], ENTRY)
 
     counted = texts.mapInArrow(run, "h long, pair boolean, raw long, target long").groupBy("h", "pair").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counted = stage(counted.where("h IS NULL OR raw > 1 OR target > 0"))
