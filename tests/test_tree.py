@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,6 +118,26 @@ def test_attributes_of_a_batch_are_made_at_once():
     assert made["attr_names"].to_pylist() == [["a", "b"], [], ["c"]]
 
 
+def test_elements_are_no_records_while_a_page_is_shredded():
+    """A page of many elements takes little memory: its fields are columns, and positions count within parent and tag."""
+    html = "<ul>" + "<li>a<b>b</b><!-- c -->c</li>" * 20_000 + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "html": [html]})
+    tracemalloc.start()
+    (out,) = shred._shred_batches(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 1400 * 40_001
+    nodes = out.column("nodes").to_pylist()[0]
+    assert [(n["tag"], n["parent"], n["ord"], n["sib_pos"], n["tag_pos"], n["tag_n"]) for n in nodes[:3]] == [
+        ("ul", -1, 1, 1, 1, 1), ("li", 0, 1, 1, 1, 20_000), ("b", 1, 1, 1, 1, 1),
+    ]
+    assert nodes[-2] | {"pre": 39_999, "last": 40_000, "parent": 0, "ord": 20_000, "sib_pos": 20_000, "tag_pos": 20_000, "tag_n": 20_000} == nodes[-2]
+    assert [(t["after"], t["after_comment"], t["text"]) for t in out.column("texts").to_pylist()[0][-3:]] == [(-1, False, "a"), (-1, False, "b"), (40_000, True, "c")]
+    assert out.column("comments").to_pylist()[0][-1] == {"parent": 39_999, "ord": 2, "tail": 59_999}
+    open_comment = shred.shred_page("<p><!-- a</p><b><!doctype x>")
+    assert [n["ord"] for n in open_comment[0]] == [1, 2] and open_comment[2] == [{"parent": 0, "ord": 1, "tail": -1}]
+
+
 def test_intervals_equal_ancestors(spark):
     rng = random.Random(6)
     rows = []
