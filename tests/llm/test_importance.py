@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from webcorpus.llm.common import kth_largest
-from webcorpus.llm.importance import BATCH_GRAMS, _batches, _merged, ngrams, ratio_model, score_quality, select_quality
+from webcorpus.llm.importance import BATCH_GRAMS, FOREIGN, SCALE, _batches, _merged, measured_texts, ngrams, ratio_model, score_quality, select_quality
+from webcorpus.llm.importance import Held, _added, _sightings, _unpacked
 
 
 def corpus():
@@ -86,6 +87,61 @@ def test_merging_counts_takes_little_memory():
     assert max(b.num_rows for b in batches) <= BATCH_GRAMS and sum(b.num_rows for b in batches) == len(want)
 
 
+def test_sightings_are_shuffled_in_few_bytes():
+    """Packed n-grams take few bytes, and every range gives documents what its n-grams add to them."""
+    rng = np.random.default_rng(5)
+    kinds = rng.integers(-(1 << 63), 1 << 63, 60_000)
+    held = Held(np.zeros(0, np.int64), np.zeros(0, bool))
+    held.shares = [0.4, 0.4]
+    chunks, rows, size = [], [], 0
+    for chunk in range(3):
+        docs = np.sort(rng.integers(0, 300, 40_000)).astype(np.int32)
+        grams, good = rng.choice(kinds, 40_000), rng.integers(0, 2, 300).astype(bool)
+        chunks.append((grams, docs, good))
+        made = list(_sightings(1, chunk, 4, grams, docs, good))
+        rows += made
+        size += sum(len(r[5]) for r in made)
+    n = sum(r[3] for r in rows)
+    assert n == sum(len(set(c[0].tolist())) for c in chunks) and size <= 10 * n  # 13.6 bytes a row, without documents, before
+    raw, target = {}, {}
+    for grams, docs, good in chunks:
+        for g, d in zip(grams.tolist(), docs.tolist()):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + int(good[d])
+    ratio = {g: round(math.log((target[g] + 1) / (raw[g] * 0.4 + 1)) * SCALE) for g in raw}
+    want = np.zeros((3, 300, 2), np.int64)
+    for chunk, (grams, docs, _) in enumerate(chunks):
+        for g, d in zip(grams.tolist(), docs.tolist()):
+            want[chunk, d] += ratio[g] - held.once(1), min(ratio[g] - int(FOREIGN * SCALE), 0)
+    got = np.zeros((3, 300, 2), np.int64)
+    for part in range(4):
+        for _, chunk, _, a, _, data in _added(held, 1, [r for r in rows if r[0] == part]):
+            some, *values = _unpacked(data, (np.uint16, a), (np.int64, a), (np.int64, a))
+            got[chunk, some] += np.stack(values, axis=1)
+    assert np.array_equal(got, want)
+
+
+def test_sums_do_not_depend_on_what_tasks_hold(spark):
+    """Repeated rows, null and blank texts and null ids are measured each, with the sums of the model's ratios."""
+    rng = random.Random(8)
+    rows = [(i if i % 7 else None, " ".join(rng.choices("a b c d e f g h".split(), k=rng.randint(1, 30))), i % 2, i % 3 == 0) for i in range(400)]
+    rows += rows[:20] + [(1, None, None, None), (2, " ", 1, True)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, good int, model boolean")
+    listed, once = ratio_model(texts)
+    ratio = {(r.pair, r.h): r.ratio for r in listed.collect()}
+    want = []
+    for i, text, good, model in rows:
+        single, _, pairs, _ = ngrams(pa.array([text], pa.string()))
+        sums = []
+        for pair, grams in ((False, single), (True, pairs)):
+            found = [ratio.get((pair, h), once[pair]) for h in grams.tolist()]
+            sums += [sum(found), sum(min(x - int(FOREIGN * SCALE), 0) for x in found)]
+        want.append((i, [len(single), len(pairs)], sums, good, model))
+    for held in (1 << 16, 3, 0):
+        got = [(r.doc_id, list(r.n), list(r.sums), r.good, r.model) for r in measured_texts(texts, held).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_edges(spark, docs, edge_rows):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (empty, spark.createDataFrame([(5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")):
