@@ -138,6 +138,25 @@ def test_elements_are_no_records_while_a_page_is_shredded():
     assert [n["ord"] for n in open_comment[0]] == [1, 2] and open_comment[2] == [{"parent": 0, "ord": 1, "tail": -1}]
 
 
+def test_tags_are_taken_apart_once(monkeypatch):
+    """Pages repeat their tags; what looks like a tag is read where it stands, since a quote may hold brackets."""
+    seen, real = [], shred._attributes
+    monkeypatch.setattr(shred, "_attributes", lambda raw: seen.append(raw) or real(raw))
+    html = "<ul>" + "<li class='a'><a href='/x'>t</a></li>" * 50 + "</ul><p title='<b>'>x<b a=\"1>2\">y<"
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3], "url": ["u"] * 3, "html": [html, html, "<p title='<b"]})
+    (out,) = shred._shred_batches(iter([batch]))
+    assert len(seen) == len(set(seen)) == 5
+    one, two, cut = out.column("nodes").to_pylist()
+    assert one == two and cut == [] and [t["text"] for t in out.column("texts").to_pylist()[2]] == ["<p title='<b"]
+    assert [(n["tag"], n["attrs"], n["last"]) for n in one[-2:]] == [("p", [("title", "<b>")], 102), ("b", [("a", "1>2")], 102)]
+    assert [t["text"] for t in out.column("texts").to_pylist()[0][-2:]] == ["x", "y<"]
+    odd = ["<p a='x", "<b>'>", '<a"b>', "</a\"b>c\">", "<br/>", "<scripts>", "<script>1<2</script>", "<>", "</>", "<!-- <p> -->", "&lt;<"]
+    for k in range(len(odd)):
+        page = "".join(odd[k:] + odd[:k])
+        tokens = [t for t in shred.TOKEN.findall(page) if t[6] and not t[5] or t[2]]
+        assert [n["tag"] for n in shred.shred_page(page)[0]] == [(t[6] or t[2]).lower() for t in tokens]
+
+
 def test_intervals_equal_ancestors(spark):
     rng = random.Random(6)
     rows = []
