@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import pyarrow as pa
@@ -263,3 +264,32 @@ def test_selector_plan_has_no_shuffle(spark, pages):
     out = selectors.match_selectors(dom, spark.createDataFrame([("//p",)], "xpath string"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_labels_of_an_element_are_made_once(spark, pages):
+    """Contexts and profiles look at an element from many others, and attributes and tokens are counted in one reading."""
+    dom = shred.shred_html(pages(cards()))
+    e = shred.elements(dom)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    # two for an attribute, one for a token
+    assert plan(stability.dom_context(dom, e)).count("RLIKE") == 3
+    made = plan(stability.classify_elements(dom, e, e))  # the pages are shredded by another function
+    assert made.count("MapInArrow run(") == 1
+    both = siblings.sibling_counts(dom, "both")
+    for kind, some in (("attributes", "attr IS NOT NULL"), ("tokens", "token IS NOT NULL")):
+        rows = siblings.sibling_counts(dom, kind)
+        assert sorted(map(str, both.filter(some).select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_shared_candidates_are_tested_once(spark, pages):
+    """Targets of one family have the same candidates: the work does not grow with the square of a page."""
+    n = 6_000
+    html = "<html><body><div id='m|'>" + "<p>x</p>" * n + "<p|5>y</p|5></div><div class='only'><p>z</p><i>i</i></div></body></html>"
+    dom = shred.shred_html(pages(html)).cache()
+    t = shred.elements(dom).filter("tag LIKE 'p%' OR tag = 'i'").select("page_id", "pre", F.col("tag").alias("field"), F.lit("text").alias("extract"))
+    t = t.withColumn("container_pre", F.when((F.col("field") == "p") & (F.col("pre") % 2 == 0), 2)).withColumn("attribute_name", F.lit(None).cast("string"))
+    assert t.count() == n + 3
+    start = time.time()
+    got = {(r.field, r.xpath): r.n for r in induce.ancestor_selectors(dom, t).groupBy("field", "xpath").agg(F.count("*").alias("n")).collect()}
+    assert time.time() - start < 30
+    assert got == {("p", None): n, ("p|5", None): 1, ("p", ".//*[contains(@class, 'only')]//p"): 1, ("i", ".//*[contains(@class, 'only')]//i"): 1}
