@@ -138,3 +138,11 @@ def test_pages_are_shredded_once(spark, site):
     for name in ("similar_siblings", "sibling_attribute_values", "selectors_by_ancestor", "element_profiles", "detail_trail", "legacy_converted", "export_documents", "link_scores"):
         plan = QUERIES[name](spark, site)._jdf.queryExecution().optimizedPlan().toString()
         assert "_shred_batches" not in plan, name
+
+
+def test_what_is_read_twice_is_made_once(spark, site):
+    """Records of start pages are extracted once; broken selectors of a page share its class tokens and texts."""
+    made = lambda name, what: QUERIES[name](spark, site)._jdf.queryExecution().optimizedPlan().toString().count(what)
+    assert made("detail_trail", "map_from_arrays(") == 1
+    # in the page row, before the broken selectors join it
+    assert made("repaired_by_class", "AS _tokens#") == 1 and made("repaired_by_pattern", "AS _own#") == 1
